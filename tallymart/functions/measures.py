@@ -36,11 +36,16 @@ def line_margin() -> Column:
     return ratio("profit", "sales")
 
 
+def format_fixed(value: Column | str, places: int) -> Column:
+    """Fixed places, half-even, no thousands separators."""
+    return F.translate(F.format_number(real(value), places), ",", "")
+
+
 def format_currency(value: Column | str) -> Column:
     """``$1,234``; the sign of a negative amount follows the dollar mark."""
     return F.concat(F.lit("$"), F.format_number(real(value), 0))
 
 
 def format_pct(value: Column | str) -> Column:
-    """``12.3%``."""
-    return F.concat(F.format_string("%.1f", real(value)), F.lit("%"))
+    """``12.3%`` of a value already in percent."""
+    return F.concat(format_fixed(value, 1), F.lit("%"))
