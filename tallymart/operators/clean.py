@@ -16,15 +16,17 @@ RULES = ("duplicate row", "missing critical field", "ship_date < order_date",
          "discount outside [0, 1]", "quantity not positive")
 COPIES, BROKEN = "extra_copies", "broken_rule"
 
-# Fixed value: what counts as white space at either end of a text.
-_SPACE = r"[\s\x1c-\x1f]"
+# Fixed value: the characters that count as white space at either end of a text.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def strip_strings(df: DataFrame) -> DataFrame:
     """CLN1: trim white space of every kind, tabs and no-break spaces included."""
-    ends = f"(?U)^{_SPACE}+|{_SPACE}+$"
+    ends = F.lit(WHITE_SPACE)
     return df.select(*[
-        F.regexp_replace(f.name, ends, "").alias(f.name)
+        F.btrim(F.col(f.name), ends).alias(f.name)
         if f.dataType.simpleString() == "string" else F.col(f.name)
         for f in df.schema.fields])
 
