@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tallymart.functions.measures import ratio, real
+from tallymart.functions.measures import nonzero, ratio, real
 from tallymart.plans.ordered import exact_quantiles
 from tallymart.plans.stats import correlation_matrix, outliers_iqr
 
@@ -76,15 +76,16 @@ def correlation_heatmap(view: DataFrame) -> DataFrame:
 def histogram(df: DataFrame, column: str, bins: int = 40, split_by: str | None = None) -> DataFrame:
     """CH8, CH9: equal-width bins from minimum to maximum; the maximum is in the last.
 
-    Empty bins have no row. All equal values form one bin, the first.
+    Empty bins have no row. Where all values are equal the range is one wide around them.
     """
     x = real(column)
     span = df.agg(F.min(x).alias("low"), F.max(x).alias("high"))
+    half = F.when(F.col("low") == F.col("high"), 0.5).otherwise(0.0)
+    span = span.select((F.col("low") - half).alias("low"), (F.col("high") + half).alias("high"))
     low, high = span.select("low").scalar(), span.select("high").scalar()
     width = (high - low) / bins
-    number = F.least(F.floor((x - low) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))
-    binned = df.where(x.isNotNull()).withColumn(
-        "bin", (F.coalesce(number, F.lit(0)) + 1).cast("int"))
+    number = F.least(F.floor((x - low) / nonzero(width)), F.lit(bins - 1))
+    binned = df.where(x.isNotNull()).withColumn("bin", (number + 1).cast("int"))
     keys = ["bin"] if split_by is None else [split_by, "bin"]
     return (
         binned.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
