@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallymart.catalog.base_sql import flat
 from tallymart.catalog.shared import settle
 from tallymart.plans import forecast as fc
+from tallymart.session import stash
 
 HOLDOUT = 6
 
@@ -144,7 +145,7 @@ ENTRIES = {
                ROUND(bs, 2) AS beta_month_sin, ROUND(bc, 2) AS beta_month_cos FROM fit""",
         BY_CATEGORY, _fit("fit", "TRUE"))),
     "fc8_fc11_backtest": (
-        lambda m: settle(fc.backtest(_monthly(m), HOLDOUT).select(
+        lambda m: settle(fc.backtest(stash(_monthly(m), "monthly"), HOLDOUT).select(
             "method", "mae", "rmse", "mape", "status"), 2),
         flat(SCORES.format(g=""), ALL, TRAINED, FLAT_FORECASTS, _fit("fit", f"age >= {HOLDOUT}"),
              GUESSES)),
@@ -177,7 +178,7 @@ ENTRIES = {
 
 
 def _residual_spread(m):
-    features = fc.time_features(_monthly(m))
+    features = fc.time_features(stash(_monthly(m), "monthly"))
     fitted = fc.predict(features, fc.fit_trend_model(features))
     residual = F.col("value") - F.col("predicted")
     return fitted.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(residual).alias("spread"))

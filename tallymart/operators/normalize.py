@@ -94,9 +94,13 @@ def sales(lines: DataFrame) -> DataFrame:
         "sales_id", *measures)
 
 
-def normalise(cleaned: DataFrame, check: bool = True) -> Mart:
-    """NRM9: the eight tables, integrity checked. The lines are written once first."""
-    lines = stash(cleaned, "cleaned")
+def normalise(cleaned: DataFrame, check: bool = True, stored: bool = False) -> Mart:
+    """NRM9: the eight tables, integrity checked.
+
+    Eight builders read the lines, so they are written once first, unless they
+    are ``stored`` already.
+    """
+    lines = cleaned if stored else stash(cleaned, "cleaned")
     region_table, category_table = regions(lines), categories(lines)
     # Dimension tables are read by several others: write each once.
     location_table = stash(locations(lines, region_table), "locations")

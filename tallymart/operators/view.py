@@ -44,15 +44,16 @@ def filter_view(df: DataFrame, start: dt.date | None = None, end: dt.date | None
 
 
 def filter_options(df: DataFrame) -> DataFrame:
-    """Sorted values per filter as (filter, value) rows, dates included."""
-    lists = [
-        df.where(F.col(c).isNotNull()).groupBy(F.lit(c).alias("filter"), F.col(c).alias("value"))
-        .agg(F.lit(1)).select("filter", "value")
-        for c in ("region_name", "category_name", "segment")]
-    dates = df.agg(F.min("order_date").alias("min_date"), F.max("order_date").alias("max_date"))
-    spans = dates.unpivot([], ["min_date", "max_date"], "filter", "value").select(
-        "filter", F.col("value").cast("string"))
-    options = spans
-    for one in lists:
-        options = options.unionByName(one)
-    return options.where("value IS NOT NULL").orderBy("filter", "value")
+    """Sorted values per filter as (filter, value) rows, dates included; one pass."""
+    dims = ("region_name", "category_name", "segment")
+    combined = df.groupBy(*dims).agg(
+        F.min("order_date").cast("string").alias("min_date"),
+        F.max("order_date").cast("string").alias("max_date"))
+    options = combined.unpivot([], [*dims, "min_date", "max_date"], "filter", "value")
+    listed = options.where("value IS NOT NULL").groupBy("filter", "value").agg(F.lit(1))
+    name, value = F.col("filter"), F.col("value")
+    dates = listed.where(name.isin("min_date", "max_date")).groupBy("filter").agg(
+        F.when(F.first(name) == "min_date", F.min(value)).otherwise(F.max(value)).alias("value"))
+    return (
+        listed.where(name.isin(*dims)).select("filter", "value").unionByName(dates)
+        .orderBy("filter", "value"))

@@ -121,19 +121,23 @@ class OrderedBlocks:
         rows = rows.join(F.broadcast(carry), _BLOCK)
         return self._finish(rows, **{name: F.coalesce(F.col("_inside"), carried)})
 
-    def running_sums(self, **sums: str) -> DataFrame:
-        """Running totals (``name=column``) up to and including each row."""
+    def running_sums(self, only: Column | None = None, **sums: str) -> DataFrame:
+        """Running totals (``name=column``) up to and including each row.
+
+        ``only`` picks blocks by ``before_<name>`` and ``within_<name>``, the totals
+        before and inside a block; the others are left out before any shuffle.
+        """
         before = Window.orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-        totals = self._blocks(*[F.sum(c).alias(f"_s_{name}") for name, c in sums.items()])
-        carry = totals.select(_BLOCK, *[
-            F.coalesce(F.sum(f"_s_{name}").over(before), F.lit(0)).alias(f"_c_{name}")
+        totals = self._blocks(*[F.sum(c).alias(f"within_{name}") for name, c in sums.items()])
+        carry = totals.select(_BLOCK, *[f"within_{name}" for name in sums], *[
+            F.coalesce(F.sum(f"within_{name}").over(before), F.lit(0)).alias(f"before_{name}")
             for name in sums])
+        if only is not None:
+            carry = carry.where(only)
         inside = Window.partitionBy(_BLOCK).orderBy(_POS).rowsBetween(Window.unboundedPreceding, 0)
-        rows = self.rows.select(
-            "*", *[F.sum(c).over(inside).alias(f"_i_{name}") for name, c in sums.items()])
-        rows = rows.join(F.broadcast(carry), _BLOCK)
-        return self._finish(
-            rows, **{name: F.col(f"_c_{name}") + F.col(f"_i_{name}") for name in sums})
+        rows = self.rows.join(F.broadcast(carry), _BLOCK)
+        return self._finish(rows, **{
+            name: F.col(f"before_{name}") + F.sum(c).over(inside) for name, c in sums.items()})
 
 
 def dense_ids(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
@@ -156,15 +160,21 @@ def quantiles_of_counts(values: DataFrame, quantiles: dict[str, float]) -> DataF
     """As ``exact_quantiles``, from a table of (value, copies)."""
     blocks = OrderedBlocks(values, "value")
     total = blocks.rows.agg(F.sum("copies")).scalar()
-    upto = blocks.running_sums(upto="copies")
-    found, answers = [], []
+    ranks = {}
     for name, q in quantiles.items():
         place = F.lit(q) * (total - 1)
-        for side, rank in (("lo", F.floor(place)), ("hi", F.ceil(place))):
-            here = (F.col("upto") > rank) & (F.col("upto") - F.col("copies") <= rank)
+        ranks[name] = {"lo": F.floor(place), "hi": F.ceil(place), "part": place - F.floor(place)}
+    reached = F.lit(False)
+    for rank in (r[side] for r in ranks.values() for side in ("lo", "hi")):
+        reached = reached | (
+            (F.col("before_upto") <= rank) & (rank < F.col("before_upto") + F.col("within_upto")))
+    upto = blocks.running_sums(only=reached, upto="copies")
+    found, answers = [], []
+    for name, rank in ranks.items():
+        for side in ("lo", "hi"):
+            here = (F.col("upto") > rank[side]) & (F.col("upto") - F.col("copies") <= rank[side])
             found.append(F.max(F.when(here, F.col("value"))).alias(f"{name}_{side}"))
-        found.append(F.max(place - F.floor(place)).alias(f"{name}_part"))
+        found.append(F.max(rank["part"]).alias(f"{name}_part"))
         low, high = F.col(f"{name}_lo"), F.col(f"{name}_hi")
         answers.append((low + (high - low) * F.col(f"{name}_part")).alias(name))
     return upto.agg(*found).select(*answers)
-

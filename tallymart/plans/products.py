@@ -86,9 +86,12 @@ def profit_concentration(mart: Mart, share: float = 0.8) -> DataFrame:
     blocks = OrderedBlocks(by_profit, F.desc("profit"))
     totals = blocks.rows.agg(F.sum("n").alias("n"), F.sum("amount").alias("amount"))
     products, profit = totals.select("n").scalar(), totals.select("amount").scalar()
+    target = share * profit.cast("double")
+    crossing = real(F.col("before_running") + F.col("within_running")) >= target
     first = (
-        blocks.running_sums(upto="n", running="amount")
-        .where(real("running") >= share * profit.cast("double"))
+        blocks.running_sums(only=crossing & (real("before_running") < target),
+                            upto="n", running="amount")
+        .where(real("running") >= target)
         .orderBy(F.desc("profit")).limit(1))
     rank = F.col("upto") - F.col("n") + 1
     return first.select(

@@ -12,29 +12,35 @@ from tallymart.plans.ordered import exact_quantiles, quantiles_of_counts
 from tallymart.session import stash
 
 
-def _skewness(x: Column) -> Column:
-    """Bias-corrected skewness: 0 for a constant, NULL below three values.
+def descriptive_stats(df: DataFrame, column: str) -> DataFrame:
+    """ST1: one row; nulls are left out, the smallest of tied modes is taken.
 
-    Spark's own is the population form.
+    The data are read once, into a count per value; the rest works on those
+    counts. Skewness is bias-corrected: 0 for a constant, NULL below three values.
     """
-    n = F.count(x)
-    corrected = F.skewness(x) * F.sqrt(n * (n - 1)) / nonzero(n - 2)
-    return F.when(n < 3, None).when(F.min(x) == F.max(x), F.lit(0.0)).otherwise(corrected)
-
-
-def descriptive_stats(df: DataFrame, column: str) -> DataFrame:
-    """ST1: one row; nulls are left out, the smallest of tied modes is taken."""
-    x = real(column)
     counts = stash(
-        df.where(x.isNotNull()).groupBy(x.alias("value")).agg(F.count(F.lit(1)).alias("copies")),
-        "value-counts")
+        df.where(F.col(column).isNotNull()).groupBy(real(column).alias("value"))
+        .agg(F.count(F.lit(1)).alias("copies")), "value-counts")
     mode = counts.orderBy(F.desc("copies"), "value").limit(1).select("value").scalar()
     median = quantiles_of_counts(counts, {"median": 0.5}).scalar()
-    return df.agg(
-        F.count(x).alias("count"), F.avg(x).alias("mean"), F.max(median).alias("median"),
-        F.max(mode).alias("mode"), F.stddev_samp(x).alias("std_dev"),
-        F.var_samp(x).alias("variance"), _skewness(x).alias("skewness"),
-        F.min(x).alias("min"), F.max(x).alias("max"))
+    weighted = F.sum(F.col("value") * F.col("copies"))
+    mean = counts.agg(weighted / nonzero(F.sum("copies"))).scalar()
+    off = F.col("value") - mean
+    moments = counts.agg(
+        F.coalesce(F.sum("copies"), F.lit(0)).alias("count"), F.max(mean).alias("mean"),
+        F.sum(off * off * F.col("copies")).alias("squares"),
+        F.sum(off * off * off * F.col("copies")).alias("cubes"),
+        F.min("value").alias("min"), F.max("value").alias("max"))
+    n = real("count")
+    variance = F.col("squares") / nonzero(n - 1)
+    population = (F.col("cubes") / n) / nonzero(F.pow(F.col("squares") / n, 1.5))
+    skewness = (
+        F.when(n < 3, None).when(F.col("min") == F.col("max"), F.lit(0.0))
+        .otherwise(population * F.sqrt(n * (n - 1)) / nonzero(n - 2)))
+    return moments.select(
+        "count", "mean", median.alias("median"), mode.alias("mode"),
+        F.sqrt(variance).alias("std_dev"), variance.alias("variance"),
+        skewness.alias("skewness"), "min", "max")
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:

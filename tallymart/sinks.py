@@ -102,7 +102,7 @@ def run_pipeline(spark: SparkSession, raw_path: str, folder: str, fmt: str = "pa
     The result reads the written tables, so nothing before them is run again.
     """
     tagged = stash(cleaning.tag_rows(load_raw(spark, raw_path)), "tagged")
-    write_tables(normalise(cleaning.good_rows(tagged)), folder, fmt)
+    write_tables(normalise(cleaning.good_rows(tagged), stored=True), folder, fmt)
     written = load_tables(spark, folder, fmt)
     if database:
         recreate_tables(spark, database, buckets)
