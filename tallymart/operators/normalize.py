@@ -98,14 +98,15 @@ def normalise(cleaned: DataFrame, check: bool = True, stored: bool = False) -> M
     """NRM9: the eight tables, integrity checked.
 
     Eight builders read the lines, so they are written once first, unless they
-    are ``stored`` already.
+    are ``stored`` already. The check reads each table several times, so with it
+    the tables are written once as well.
     """
     lines = cleaned if stored else stash(cleaned, "cleaned")
     region_table, category_table = regions(lines), categories(lines)
     # Dimension tables are read by several others: write each once.
     location_table = stash(locations(lines, region_table), "locations")
     subcategory_table = stash(sub_categories(lines, category_table), "sub-categories")
-    mart = Mart({
+    tables = {
         "regions": region_table,
         "locations": location_table,
         "customers": customers(lines),
@@ -114,7 +115,9 @@ def normalise(cleaned: DataFrame, check: bool = True, stored: bool = False) -> M
         "products": products(lines, subcategory_table, category_table),
         "orders": orders(lines, location_table, region_table),
         "sales": sales(lines),
-    })
-    if check:
-        validate_integrity(mart)
+    }
+    if not check:
+        return Mart(tables)
+    mart = Mart({name: stash(table, name) for name, table in tables.items()})
+    validate_integrity(mart)
     return mart

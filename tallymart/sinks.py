@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tallymart.operators import clean as cleaning
 from tallymart.operators.mart import Mart
 from tallymart.operators.normalize import normalise
-from tallymart.operators.quality import row_counts
+from tallymart.operators.quality import row_counts, validate_integrity
 from tallymart.schema import LOAD_ORDER, TABLES
 from tallymart.session import stash
 from tallymart.sources.raw_csv import load_raw
@@ -97,13 +97,17 @@ class PipelineResult(NamedTuple):
 
 def run_pipeline(spark: SparkSession, raw_path: str, folder: str, fmt: str = "parquet",
                  database: str | None = None, buckets: int | None = None) -> PipelineResult:
-    """PIPE: read, clean, normalise, check, write; load the catalog if one is named.
+    """PIPE: read, clean, normalise, write, check; load the catalog if one is named.
 
-    The result reads the written tables, so nothing before them is run again.
+    Integrity is checked on the written tables, which are then complete and read
+    cheaply; a violation raises before the catalog is touched. The result reads the
+    written tables too, so nothing before them is run again.
     """
     tagged = stash(cleaning.tag_rows(load_raw(spark, raw_path)), "tagged")
-    write_tables(normalise(cleaning.good_rows(tagged), stored=True), folder, fmt)
+    lines = cleaning.good_rows(tagged)
+    write_tables(normalise(lines, check=False, stored=True), folder, fmt)
     written = load_tables(spark, folder, fmt)
+    validate_integrity(written)
     if database:
         recreate_tables(spark, database, buckets)
         load_all_tables(written, database, buckets)
