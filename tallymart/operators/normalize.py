@@ -13,13 +13,14 @@ from tallymart.operators.quality import validate_integrity
 from tallymart.plans.ordered import dense_ids
 from tallymart.session import stash
 
-_FIRST = "_first"
+def _first_rows(lines: DataFrame, *columns: str) -> DataFrame:
+    return lines.groupBy(*columns).agg(F.min("row_id").alias("row_id"))
 
 
 def _numbered(lines: DataFrame, columns: list[str], name: str) -> DataFrame:
     """Distinct values, numbered from 1 in order of first appearance."""
-    distinct = lines.groupBy(*columns).agg(F.min("row_id").alias(_FIRST))
-    return dense_ids(distinct, name, _FIRST).withColumn(name, F.col(name).cast("int")).drop(_FIRST)
+    numbered = dense_ids(_first_rows(lines, *columns), name, "row_id")
+    return numbered.withColumn(name, F.col(name).cast("int")).drop("row_id")
 
 
 def _first_row(lines: DataFrame, key: str, *columns: str) -> DataFrame:
@@ -102,10 +103,13 @@ def normalise(cleaned: DataFrame, check: bool = True, stored: bool = False) -> M
     the tables are written once as well.
     """
     lines = cleaned if stored else stash(cleaned, "cleaned")
-    region_table, category_table = regions(lines), categories(lines)
-    # Dimension tables are read by several others: write each once.
-    location_table = stash(locations(lines, region_table), "locations")
-    subcategory_table = stash(sub_categories(lines, category_table), "sub-categories")
+    # The first row of each place and of each category pair is found once; the
+    # four tables of names need no more of the lines than that.
+    places = stash(_first_rows(lines, "city", "state", "postal_code", "region"), "places")
+    pairs = stash(_first_rows(lines, "sub_category", "category"), "pairs")
+    region_table, category_table = regions(places), categories(pairs)
+    location_table = locations(places, region_table)
+    subcategory_table = sub_categories(pairs, category_table)
     tables = {
         "regions": region_table,
         "locations": location_table,

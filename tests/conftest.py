@@ -19,7 +19,11 @@ from tallymart.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     os.chdir(tmp_path_factory.mktemp("work"))
-    session = local_session(4, shuffle_partitions=4, memory="4g")
+    # Compiling plans costs more than running them on a handful of rows.
+    session = local_session(4, shuffle_partitions=4, memory="4g", **{
+        "spark.sql.codegen.wholeStage": "false",
+        "spark.sql.codegen.factoryMode": "NO_CODEGEN",
+        "spark.driver.extraJavaOptions": "-XX:TieredStopAtLevel=1"})
     yield session
     session.stop()
 

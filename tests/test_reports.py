@@ -117,24 +117,27 @@ def both_routes(spark, tmp_path_factory):
     return star, load_tables(spark, folder, "parquet")
 
 
-@pytest.mark.parametrize("name", [n for n in reports.ENTRIES if n.startswith("q")])
+# One query per way of reading the mart. Left out are those whose ties fall to a
+# key, which sorts as a number in the star and as text in the eight tables.
+COMPARED = (
+    "q01_headline_kpis", "q03_region_revenue", "q06_frequent_customers",
+    "q07_broad_reach_products", "q10_shipping_speed", "q12_category_month_share",
+    "q15_spend_rank_in_segment", "q17_best_product_per_category", "q26_segment_summary",
+    "q28_new_vs_returning", "q32_region_category_matrix", "q33_best_state_per_region",
+    "q35_profit_concentration", "q36_rfm_raw", "q40_dormant_products")
+
+
+@pytest.mark.parametrize("name", COMPARED)
 def test_star_and_eight_tables_agree(both_routes, many_blocks, name):
     build = reports.ENTRIES[name][0]
     star, eight = both_routes
-    keyed = ("customer_id", "product_id", "order_id")
 
     def settled(df):
         return sorted(
-            (tuple(str(v) if c in keyed else v for c, v in zip(df.columns, r))
+            (tuple(str(v) if c == "customer_id" else v for c, v in zip(df.columns, r))
              for r in df.collect()), key=repr)
 
-    if name in ("q18_spend_quartiles", "q37_rfm_scores", "q38_rfm_segments",
-                "q38b_rfm_segments_best5", "q16_latest_order", "q19_order_value_changes",
-                "q13_top_products_in_context", "q27_top_customers"):
-        # Ties fall to the key, which sorts as a number there and as text here.
-        assert build(star).count() == build(eight).count()
-    else:
-        assert settled(build(star)) == settled(build(eight))
+    assert settled(build(star)) == settled(build(eight))
 
 
 def test_check_sql_reads_only_given_tables():
