@@ -44,22 +44,28 @@ def descriptive_stats(df: DataFrame, column: str) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """ST2: Pearson, pairwise complete, long form. NULL where a column is constant."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    """ST2: Pearson, pairwise complete, long form. NULL where a column is constant.
 
-    def correlation(a: str, b: str) -> Column:
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        x, y = F.when(both, real(a)), F.when(both, real(b))
-        varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-        spread = nonzero(F.stddev_samp(x) * F.stddev_samp(y))
-        return F.when(varies, F.covar_samp(x, y) / spread)
-
-    wide = df.agg(*[correlation(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
-    cells = [
-        F.struct(F.lit(x).alias("row_column"), F.lit(y).alias("column"),
-                 F.col(f"`{i}`").alias("correlation"))
-        for i, (a, b) in enumerate(pairs) for x, y in sorted({(a, b), (b, a)})]
-    return wide.select(F.inline(F.array(*cells)))
+    Each row is read once and turned into one (x, y) per pair of columns, merged
+    before the shuffle: three aggregates over more rows compile to fast code, where
+    three aggregates per pair in one row do not.
+    """
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    values = F.array(*[
+        F.struct(F.lit(i).alias("pair"), F.col(a).alias("x"), F.col(b).alias("y"))
+        for i, (a, b) in enumerate(pairs)])
+    spread = F.sqrt(F.regr_sxx("y", "x")) * F.sqrt(F.regr_syy("y", "x"))
+    found = (
+        df.select(*[real(c).alias(c) for c in columns]).select(F.inline(values))
+        .groupBy("pair").agg((F.regr_sxy("y", "x") / nonzero(spread)).alias("correlation")))
+    names = F.array(*[
+        F.array(*[F.struct(F.lit(x).alias("row_column"), F.lit(y).alias("column"))
+                  for x, y in sorted({(a, b), (b, a)})]) for a, b in pairs])
+    every_pair = df.sparkSession.range(len(pairs)).select(F.col("id").cast("int").alias("pair"))
+    return (
+        every_pair.join(found, "pair", "left")
+        .select(F.explode(F.element_at(names, F.col("pair") + 1)).alias("name"), "correlation")
+        .select("name.row_column", "name.column", "correlation"))
 
 
 def outliers_iqr(df: DataFrame, column: str) -> DataFrame:
