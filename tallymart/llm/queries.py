@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallymart.llm import decontaminate, exact, language, lines, mixing, simhash, tokens
+from tallymart.llm import (
+    decontaminate, exact, language, lines, mixing, scoring, simhash, substrings, tokens)
 from tallymart.llm.common import LOWER, UPPER, new_scratch_path, table
 from tallymart.session import configure
 
@@ -24,6 +25,11 @@ def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "source", "block", "slot", "target_weight", "mix_order")
 
 
+def op2_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    good = table(spark, folder, "labels").where("quality = 1")
+    return scoring.score_documents(table(spark, folder, "documents"), good)
+
+
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_groups(table(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -59,6 +65,11 @@ def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.dedup_windows(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def _fold_sql() -> str:
     """The two translate() arguments that fold a text the way the operator does."""
     parts = [*range(1, 33), *(c for c in range(33, 128) if not chr(c).isalnum())]
@@ -69,12 +80,14 @@ def _fold_sql() -> str:
 _BUILD: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_mix_sources": (op1_mix_sources, mixing.MIX_SQL.format(docs="documents") + (
         "SELECT doc_id, source, block, slot, target_weight, mix_order FROM mixed")),
+    "op2_lm_scores": (op2_lm_scores, None),
     "op3_simhash": (op3_simhash, None),
     "op4_line_dedup": (op4_line_dedup, lines.LINES_SQL),
     "op5_exact_dedup": (op5_exact_dedup, exact.EXACT_SQL),
     "op6_token_ids": (op6_token_ids, None),
     "op7_language": (op7_language, None),
     "op8_decontaminate": (op8_decontaminate, decontaminate.LEAK_SQL.format(fold=_fold_sql())),
+    "op10_substring_dedup": (op10_substring_dedup, None),
 }
 
 
