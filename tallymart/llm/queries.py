@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallymart.llm import (
-    decontaminate, exact, language, lines, mixing, scoring, simhash, substrings, tokens)
+    decontaminate, exact, language, lines, mixing, scoring, simhash, substrings, suffixes, tokens)
 from tallymart.llm.common import LOWER, UPPER, new_scratch_path, table
 from tallymart.session import configure
 
@@ -20,6 +20,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Hand long texts to Python a thousand at a time, whatever the session's default is."""
+    configure(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return spark
+
+
 def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(table(spark, folder, "documents")).select(
         "doc_id", "source", "block", "slot", "target_weight", "mix_order")
@@ -65,6 +72,11 @@ def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.dedup_bytes(table(spark, folder, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.dedup_windows(table(spark, folder, "documents")).select(
         "doc_id", "n_words", "n_removed", "kept_sha256")
@@ -87,13 +99,14 @@ _BUILD: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "op6_token_ids": (op6_token_ids, None),
     "op7_language": (op7_language, None),
     "op8_decontaminate": (op8_decontaminate, decontaminate.LEAK_SQL.format(fold=_fold_sql())),
+    "op9_suffix_dedup": (op9_suffix_dedup, None),
     "op10_substring_dedup": (op10_substring_dedup, None),
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bound(build):
-        return lambda spark, folder: build(configure(spark), folder)
+        return lambda spark, folder: build(small_batches(spark), folder)
     return {name: bound(build) for name, (build, _) in _BUILD.items()}
 
 

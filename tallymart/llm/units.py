@@ -33,7 +33,7 @@ class Units:
 
     def __init__(self, docs: DataFrame, unit_bytes: int = UNIT_BYTES):
         spark = docs.sparkSession
-        texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        texts = self.columns(docs)
         size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         self.count = max(64, -(-size // unit_bytes))
         self.ranges = max(64, -(-size // RANGE_BYTES))
@@ -44,6 +44,10 @@ class Units:
             partitions, "unit").sortBy("unit").saveAsTable(name)
         self.table = spark.table(name)
 
+    def columns(self, docs: DataFrame) -> DataFrame:
+        empty = F.lit("").cast(docs.schema["text"].dataType)
+        return docs.select("doc_id", F.coalesce(F.col("text"), empty).alias("text"))
+
     def unit_of(self, column: str):
         return F.pmod(F.xxhash64(F.col(column)), F.lit(self.count))
 
