@@ -11,6 +11,8 @@ starts among all ids.
 
 from __future__ import annotations
 
+import gc
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -91,7 +93,9 @@ class WordwiseEncoder:
     the tokens that start with the space. At most about ``most_words`` are remembered.
     """
 
-    def __init__(self, path: str, most_words: int = 1_500_000):
+    def __init__(self, path: str, most_words: int = 800_000):
+        # One thread a task: a pool of threads in every worker costs memory and shares no work.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -100,9 +104,9 @@ class WordwiseEncoder:
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.ids = np.zeros(1 << 20, np.uint32)
         self.used = 0
@@ -153,14 +157,14 @@ class WordwiseEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text's ids end."""
         if len(self.number) > self.most_words:
-            self._forget()
+            self.forget()
         cut = self._cut(texts)
         first = cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
         coded = cut.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
         fresh = [w for w in words if w not in self.number]
-        if fresh:
-            self._learn(fresh)
+        for i in range(0, len(fresh), 20_000):
+            self._learn(fresh[i:i + 20_000])
         at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))[
             coded.indices.to_numpy()]
         # The first word of a text has no space before it: its ids are put in front.
@@ -174,15 +178,6 @@ class WordwiseEncoder:
         return every[runs_between(begin, length)], ends[np.append(first[1:], len(at)) - 1]
 
 
-_ENCODERS: dict[str, WordwiseEncoder] = {}
-
-
-def _encoder(path: str) -> WordwiseEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordwiseEncoder(path)
-    return _ENCODERS[path]
-
-
 _FIELDS = pa.schema([
     ("part", pa.int64()), ("seq", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()),
     ("width", pa.int32()), ("ids", pa.binary()), ("doc_ids", pa.binary()), ("low_bits", pa.int32()),
@@ -212,10 +207,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
     are not written. ``tokenizer`` is a file that every executor can read.
     """
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer)
+        encoder = WordwiseEncoder(tokenizer)  # a worker holds the words of one task at a time
         width = 2 if max(len(encoder.opens) - 1, end_id) < 1 << 16 else 4
         part, seq, held, numbers, rows = TaskContext.get().partitionId(), 0, 0, [], []
-        for piece in small_batches(batches, 8_000_000):
+        for piece in small_batches(batches, 3_000_000):
             ids, ends = encoder.encode(piece.column("text"))
             docs_of = piece.column("doc_id").to_pylist()
             for doc_id, a, b in zip(docs_of, np.append(0, ends[:-1]), ends):
@@ -227,6 +222,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
                     seq, held, numbers, rows = seq + 1, 0, [], []
         if rows:
             yield _segment(part, seq, numbers, rows, width)
+        del encoder, rows
+        gc.collect()
 
     order = F.col(order_by)
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), order.alias("_order"))
