@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallymart.session import new_scratch_path, stash
 
-UNIT_BYTES = 12_000_000
+UNIT_BYTES = 8_000_000
 RANGE_BYTES = 8_000_000
 #: unit, which question, key range, and packed columns.
 MESSAGE = "unit long, step int, range long, a binary, b binary, c binary"
