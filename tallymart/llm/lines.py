@@ -54,7 +54,10 @@ class LineRuns:
 
 
 def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(WHITE)), UPPER, LOWER)
+    """The line stripped, with A-Z lowered; lower() does that for a line of ASCII alone."""
+    stripped = F.btrim(line, F.lit(WHITE))
+    return F.when(F.octet_length(stripped) == F.char_length(stripped), F.lower(stripped)).otherwise(
+        F.translate(stripped, UPPER, LOWER))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3,
@@ -67,15 +70,23 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3,
     empty line. Rows with one doc_id count as rows, and stay or lose a line together.
     A null doc_id sorts below all others. Other columns are not used.
     """
-    texts = whole_texts(docs)
-    split = texts.select("doc_id", F.split("text", "\n", -1).alias("lines"))
-    # Each row gives a line once; long enough keys only.
-    keys = F.filter(F.transform("lines", line_key), lambda k: F.char_length(k) >= min_chars)
-    held = split.select(
-        "doc_id", F.explode(F.array_distinct(F.transform(keys, digest))).alias("line"))
+    # A row is known by its doc_id and a hash of its text: rows that share both are the
+    # same lines, and a place that is told twice is still one place.
+    texts = whole_texts(docs).withColumn("_text", F.xxhash64("text"))
+    split = texts.select("doc_id", "_text", F.split("text", "\n", -1).alias("lines"))
+    keys = F.filter(
+        F.transform("lines", lambda line, i: F.struct(line_key(line).alias("key"), i.alias("pos"))),
+        lambda x: F.char_length(x["key"]) >= min_chars)
+    # Sorted by key, a line's first place in its row is the one after another key.
+    ordered = split.select("doc_id", "_text", F.sort_array(keys).alias("_keys"))
+    held = ordered.select("doc_id", "_text", F.explode(F.transform("_keys", lambda x, i: F.struct(
+        digest(x["key"]).alias("line"), x["pos"].alias("pos"),
+        ((i == 0) | (F.get("_keys", i - 1)["key"] != x["key"])).alias("first")))).alias("_l")
+    ).select("doc_id", "_text", "_l.line", "_l.pos", "_l.first")
     held = stash(held, "lines")
-    common = held.groupBy("line").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_docs)
-    marks = stash(held.join(common.select("line"), "line", "left_semi").distinct(), "line-marks")
+    common = held.where("first").groupBy("line").agg(F.count(F.lit(1)).alias("_n")).where(
+        F.col("_n") >= min_docs)
+    marks = stash(held.drop("first").join(common.select("line"), "line", "left_semi"), "line-marks")
 
     runs = LineRuns()
     for bounds in reversed(id_ranges(marks, batches)):
@@ -85,16 +96,16 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3,
     kept = runs.all().select("line", F.col("keeper").alias("_k"))
     gone = marks.join(
         kept, (marks["line"] == kept["line"]) & marks["doc_id"].eqNullSafe(kept["_k"]), "left_anti")
-    per_doc = gone.groupBy("doc_id").agg(F.collect_list("line").alias("_gone")).withColumnRenamed(
-        "doc_id", "_d")
-    joined = texts.join(per_doc, texts["doc_id"].eqNullSafe(per_doc["_d"]), "left").select(
-        "doc_id", F.split("text", "\n", -1).alias("lines"), "_gone")
-
-    def stays(line: Column) -> Column:
-        key = line_key(line)
-        return (F.char_length(key) < min_chars) | ~F.array_contains(F.col("_gone"), digest(key))
-
-    kept_lines = F.when(F.col("_gone").isNull(), F.col("lines")).otherwise(F.filter("lines", stays))
+    per_row = gone.groupBy(F.col("doc_id").alias("_d"), F.col("_text").alias("_t")).agg(
+        F.collect_list("pos").alias("_gone"))
+    joined = texts.join(
+        per_row, texts["doc_id"].eqNullSafe(per_row["_d"]) & (texts["_text"] == per_row["_t"]),
+        "left").select("doc_id", F.split("text", "\n", -1).alias("lines"), "_gone")
+
+    # array_except hashes, so a row with many lines and many gone costs their sum.
+    places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "_gone")
+    kept_lines = F.when(F.col("_gone").isNull(), F.col("lines")).otherwise(
+        F.transform(places, lambda i: F.get("lines", i)))
     return joined.withColumn("_kept", kept_lines).select(
         "doc_id", F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size("_kept")).cast("long").alias("n_dropped"),
