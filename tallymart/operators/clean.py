@@ -13,7 +13,7 @@ from tallymart.schema import MONEY, RATE
 
 CRITICAL = ("order_date", "ship_date", "sales", "quantity", "customer_id", "product_id")
 RULES = ("duplicate row", "missing critical field", "ship_date < order_date",
-         "discount outside [0, 1]", "quantity not positive")
+         "discount outside [0, 1]", "quantity not positive", "out of range")
 COPIES, BROKEN = "extra_copies", "broken_rule"
 
 # Fixed value: the characters that count as white space at either end of a text.
@@ -38,7 +38,7 @@ def drop_duplicates(df: DataFrame) -> DataFrame:
     merged before the shuffle, so a row repeated very often costs nothing.
     """
     business = [c for c in df.columns if c != "row_id"]
-    number = F.col("row_id").try_cast("bigint")
+    number = F.coalesce(F.col("row_id").try_cast("bigint"), _whole_number("row_id", "bigint"))
     kept = df.groupBy(*business).agg(
         F.min(number).alias("row_id"), (F.count(F.lit(1)) - 1).alias(COPIES))
     return kept.select(*df.columns, COPIES)
@@ -48,9 +48,15 @@ def _date(column: str) -> Column:
     return F.try_to_date(F.col(column), "M/d/yyyy")
 
 
-def _whole_number(column: str) -> Column:
+def _number(column: str) -> Column:
+    """The number as written, whatever its size; NULL for anything else."""
     number = F.col(column).try_cast("double")
-    return F.when(number % 1 == 0, number.try_cast("int"))
+    return F.when(~F.isnan(number), number)
+
+
+def _whole_number(column: str, kind: str = "int") -> Column:
+    number = F.col(column).try_cast("double")
+    return F.when(number % 1 == 0, number.try_cast(kind))
 
 
 def cast_types(df: DataFrame) -> DataFrame:
@@ -67,22 +73,33 @@ def fill_postal_code(df: DataFrame) -> DataFrame:
 
 
 def _broken_rule() -> Column:
-    """CLN5, CLN7, CLN8, CLN9: the first rule a row breaks, NULL for a good row."""
-    missing = F.lit(False)
+    """CLN5, CLN7, CLN8, CLN9: the first rule a row breaks, NULL for a good row.
+
+    Judged on the numbers as written, before they are rounded to the tables' types.
+    A number that its type cannot hold is no missing one: that is a rule of its own.
+    """
+    whole = F.when(_number("quantity") % 1 == 0, _number("quantity"))
+    parsed = {"order_date": _date("order_date"), "ship_date": _date("ship_date"),
+              "sales": _number("sales"), "quantity": whole}
+    missing, too_large = F.lit(False), whole.isNotNull() & _whole_number("quantity").isNull()
     for column in CRITICAL:
-        missing = missing | F.col(column).isNull()
-    allowed = F.coalesce(F.col("discount").between(0, 1), F.lit(False))
+        missing = missing | parsed.get(column, F.col(column)).isNull()
+    for column in ("sales", "profit"):
+        too_large = too_large | (
+            _number(column).isNotNull() & F.col(column).try_cast(MONEY).isNull())
+    allowed = F.coalesce(_number("discount").between(0, 1), F.lit(False))
     return (
         F.when(missing, RULES[1])
-        .when(F.col("ship_date") < F.col("order_date"), RULES[2])
+        .when(parsed["ship_date"] < parsed["order_date"], RULES[2])
         .when(~allowed, RULES[3])
-        .when(F.col("quantity") <= 0, RULES[4]))
+        .when(whole <= 0, RULES[4])
+        .when(too_large, RULES[5]))
 
 
 def tag_rows(raw: DataFrame) -> DataFrame:
     """All steps; every distinct row is still there, with its ``broken_rule``."""
-    typed = cast_types(drop_duplicates(strip_strings(raw)))
-    return fill_postal_code(typed.withColumn(BROKEN, _broken_rule()))
+    texts = drop_duplicates(strip_strings(raw)).withColumn(BROKEN, _broken_rule())
+    return fill_postal_code(cast_types(texts))
 
 
 def good_rows(tagged: DataFrame) -> DataFrame:

@@ -1,30 +1,40 @@
 """Cleaned order lines decomposed into the eight tables.
 
-"First" always means the lowest row_id. Per-key firsts are aggregates (merged
-before the shuffle); surrogate keys are dense and numbered in parallel.
+"First" always means the lowest row_id. Rows without one come last, and among rows
+with the same one the values decide, so the order is total and never NULL. Per-key
+firsts are aggregates (merged before the shuffle); surrogate keys are dense and
+numbered in parallel.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallymart.operators.mart import Mart
 from tallymart.operators.quality import validate_integrity
 from tallymart.plans.ordered import dense_ids
 from tallymart.session import stash
 
+_LAST = (1 << 63) - 1
+
+
+def _row() -> Column:
+    return F.coalesce("row_id", F.lit(_LAST))
+
+
 def _first_rows(lines: DataFrame, *columns: str) -> DataFrame:
-    return lines.groupBy(*columns).agg(F.min("row_id").alias("row_id"))
+    return lines.groupBy(*columns).agg(F.min(_row()).alias("row_id"))
 
 
 def _numbered(lines: DataFrame, columns: list[str], name: str) -> DataFrame:
     """Distinct values, numbered from 1 in order of first appearance."""
-    numbered = dense_ids(_first_rows(lines, *columns), name, "row_id")
+    numbered = dense_ids(_first_rows(lines, *columns), name, "row_id", *columns)
     return numbered.withColumn(name, F.col(name).cast("int")).drop("row_id")
 
 
 def _first_row(lines: DataFrame, key: str, *columns: str) -> DataFrame:
-    first = lines.groupBy(key).agg(F.min_by(F.struct(*columns), "row_id").alias("row"))
+    order = F.struct(_row(), *columns)
+    first = lines.groupBy(key).agg(F.min_by(F.struct(*columns), order).alias("row"))
     return first.select(key, *[f"row.{c}" for c in columns])
 
 
@@ -89,10 +99,10 @@ def orders(lines: DataFrame, location_table: DataFrame, region_table: DataFrame)
 
 
 def sales(lines: DataFrame) -> DataFrame:
-    """NRM8: every line, numbered 1..n in row_id order."""
+    """NRM8: every line, numbered 1..n in row_id order, ties by value."""
     measures = ("order_id", "product_id", "sales", "quantity", "discount", "profit")
-    return dense_ids(lines.select("row_id", *measures), "sales_id", "row_id").select(
-        "sales_id", *measures)
+    placed = lines.select(_row().alias("row_id"), *measures)
+    return dense_ids(placed, "sales_id", "row_id", *measures).select("sales_id", *measures)
 
 
 def normalise(cleaned: DataFrame, check: bool = True, stored: bool = False) -> Mart:

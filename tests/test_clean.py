@@ -60,3 +60,19 @@ def test_report_counts_each_row_under_its_first_rule(raw_of):
     assert dict(rows(clean.drop_report(clean.tag_rows(raw)))) == {
         "duplicate row": 2, "missing critical field": 1, "ship_date < order_date": 1,
         "discount outside [0, 1]": 1, "quantity not positive": 1}
+
+
+def test_numbers_too_large_for_their_type_are_out_of_range_not_missing(raw_of):
+    raw = raw_of({"sales": "100000000.00"}, {"profit": "1e9"}, {"quantity": "3000000000"},
+                 {"sales": "99999999.99"})
+    assert dict(rows(clean.drop_report(clean.tag_rows(raw)))) == {"out of range": 3}
+
+
+def test_discount_is_judged_before_it_is_rounded(raw_of):
+    got = dict(rows(clean.drop_report(clean.tag_rows(raw_of({"discount": "1.00004"})))))
+    assert got == {"discount outside [0, 1]": 1}
+
+
+@pytest.mark.parametrize("text,expected", [("7", 7), ("7.0", 7), ("7.5", None), ("x", None), ("", None)])
+def test_row_ids(raw_of, text, expected):
+    assert rows(clean.clean(raw_of({"row_id": text})), "row_id") == [(expected,)]
