@@ -13,7 +13,9 @@ RAW_COLUMNS = (
 )
 
 # Field texts that count as missing in a raw file.
-MISSING_TOKENS = ("", "NA", "N/A", "null", "NaN")
+MISSING_TOKENS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 MONEY = T.DecimalType(12, 4)
 RATE = T.DecimalType(5, 4)

@@ -96,14 +96,15 @@ class PipelineResult(NamedTuple):
 
 
 def run_pipeline(spark: SparkSession, raw_path: str, folder: str, fmt: str = "parquet",
-                 database: str | None = None, buckets: int | None = None) -> PipelineResult:
+                 database: str | None = None, buckets: int | None = None,
+                 quoted_newlines: bool = False) -> PipelineResult:
     """PIPE: read, clean, normalise, write, check; load the catalog if one is named.
 
     Integrity is checked on the written tables, which are then complete and read
     cheaply; a violation raises before the catalog is touched. The result reads the
     written tables too, so nothing before them is run again.
     """
-    tagged = stash(cleaning.tag_rows(load_raw(spark, raw_path)), "tagged")
+    tagged = stash(cleaning.tag_rows(load_raw(spark, raw_path, quoted_newlines)), "tagged")
     lines = cleaning.good_rows(tagged)
     write_tables(normalise(lines, check=False, stored=True), folder, fmt)
     written = load_tables(spark, folder, fmt)

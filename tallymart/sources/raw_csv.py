@@ -34,13 +34,15 @@ def load_raw(spark: SparkSession, path: str, quoted_newlines: bool = False) -> D
     """SRC1: every column as text, missing tokens as NULL.
 
     ``quoted_newlines`` allows line breaks inside quotes; Spark then cannot split
-    a file, so leave it off for large files that have none.
+    a file, so leave it off for large files that have none. Of several files all must
+    have the header of the first; reading one with another header fails.
     """
+    reader = (
+        spark.read.option("header", True).option("encoding", "ISO-8859-1")
+        .option("quote", '"').option("escape", '"').option("multiLine", quoted_newlines))
     try:
-        df = (
-            spark.read.option("header", True).option("encoding", "ISO-8859-1")
-            .option("quote", '"').option("escape", '"').option("multiLine", quoted_newlines)
-            .csv(path))
+        df = reader.csv(path)
+        df = reader.schema(df.schema).option("enforceSchema", False).csv(path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"Raw data file not found: {path}") from error

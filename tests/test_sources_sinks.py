@@ -116,3 +116,28 @@ def test_pipeline(spark, tmp_path):
 def test_export(spark, tiny, tmp_path):
     sinks.export_csv(tiny.lines("order_id", "sales"), str(tmp_path / "x"))
     assert spark.read.option("header", True).csv(str(tmp_path / "x")).count() == 8
+
+
+def test_files_must_share_one_header(spark, tmp_path):
+    folder = tmp_path / "two"
+    folder.mkdir()
+    raw_file(folder, {}, name="a.csv")
+    swapped = list(RAW_COLUMNS)
+    a, b = swapped.index("Sales"), swapped.index("Profit")
+    swapped[a], swapped[b] = swapped[b], swapped[a]
+    raw_file(folder, {}, header=swapped, name="b.csv")
+    with pytest.raises(Exception, match="header"):
+        load_raw(spark, str(folder)).collect()
+
+
+def test_pipeline_keeps_names_without_usable_row_ids(spark, tmp_path):
+    path = raw_file(tmp_path, {"row_id": "x"}, {"row_id": "", "customer_id": "NULL"}, {"row_id": "1.0"},
+                    {"row_id": "1.0", "product_name": '"two\nlines"'})
+    result = sinks.run_pipeline(spark, path, str(tmp_path / "out"), quoted_newlines=True)
+    tables = result.mart.tables
+    assert dict(rows(result.drops)) == {"missing critical field": 1}
+    assert tables["sales"].orderBy("sales_id").select("product_id").collect() == [
+        ("P2",), ("P3",), ("P0",)]
+    assert tables["customers"].where("customer_name IS NULL OR segment IS NULL").count() == 0
+    assert tables["orders"].where("order_date IS NULL OR location_id IS NULL").count() == 0
+    assert tables["products"].where("product_name = 'two\nlines'").count() == 1
