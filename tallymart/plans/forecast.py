@@ -40,7 +40,9 @@ def aggregate_monthly(view: DataFrame, value_col: str = "sales", group_cols: Seq
     months = span.select(
         *group_cols, F.explode(F.sequence("first", "last", F.expr("interval 1 month")))
         .alias("order_month"))
-    return months.join(monthly, [*group_cols, "order_month"], "left").na.fill({"value": 0.0})
+    # Summed rather than joined, so that the NULL group finds its months too.
+    both = months.withColumn("value", F.lit(0.0)).unionByName(monthly.where("order_month IS NOT NULL"))
+    return both.groupBy(*group_cols, "order_month").agg(F.sum("value").alias("value"))
 
 
 def _in_time(group_cols: Sequence[str]):
@@ -168,14 +170,19 @@ def predict(features: DataFrame, model: DataFrame, group_cols: Sequence[str] = (
     return joined.withColumn(name, value).drop(*[c for c in model.columns if c.startswith("beta_")])
 
 
-def _per_group(rows: DataFrame, facts: DataFrame, group_cols: Sequence[str]) -> DataFrame:
-    """Join one row of facts per group; without groups, the one row there is."""
+def _per_group(rows: DataFrame, facts: DataFrame, group_cols: Sequence[str],
+               how: str = "inner") -> DataFrame:
+    """Join one row of facts per group (NULL is a group); without groups, the one row there is."""
     if group_cols:
-        return rows.join(facts, list(group_cols))
+        keys = {c: f"_group_{i}" for i, c in enumerate(group_cols)}
+        same = F.lit(True)
+        for column, key in keys.items():
+            same = same & F.col(column).eqNullSafe(F.col(key))
+        return rows.join(facts.withColumnsRenamed(keys), same, how).drop(*keys.values())
     on = "_the_series"
     return (
         rows.withColumn(on, F.lit(1))
-        .join(F.broadcast(facts.limit(1).withColumn(on, F.lit(1))), on).drop(on))
+        .join(F.broadcast(facts.limit(1).withColumn(on, F.lit(1))), on, how).drop(on))
 
 
 def evaluate(pairs: DataFrame, keys: Sequence[str] = (), actual: str = "actual",
@@ -189,13 +196,16 @@ def evaluate(pairs: DataFrame, keys: Sequence[str] = (), actual: str = "actual",
 
 def interval(forecast: DataFrame, residuals: DataFrame, group_cols: Sequence[str] = (),
              confidence: float = 0.95) -> DataFrame:
-    """FC9: ``lower`` and ``upper`` of constant width around ``forecast``."""
+    """FC9: ``lower`` and ``upper`` of constant width around ``forecast``.
+
+    With fewer than two residuals both are NULL; the forecast stays.
+    """
     spread = residuals.groupBy(*group_cols).agg(
         F.count("residual").alias("n"), F.stddev_samp("residual").alias("spread"))
     critical = t_quantile(F.lit((1 + confidence) / 2), (F.col("n") - 1).cast("double"))
     margin = spread.where("n > 1").select(
         *group_cols, (F.col("spread") * critical).alias("margin"))
-    return _per_group(forecast, margin, group_cols).withColumns({
+    return _per_group(forecast, margin, group_cols, "left").withColumns({
         "lower": F.col("forecast") - F.col("margin"),
         "upper": F.col("forecast") + F.col("margin")}).drop("margin")
 

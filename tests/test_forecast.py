@@ -142,3 +142,22 @@ def test_grouped_equals_single(view_of):
     alone = fc.sales_forecast(view_of(b))["forecast"]
     mine = [r[0] for r in rows(grouped.where("region_name = 'B'").orderBy("order_month"), "upper")]
     assert mine == pytest.approx([r[0] for r in rows(alone.orderBy("order_month"), "upper")])
+
+
+def test_one_month_and_the_null_group_keep_their_forecast(spark):
+    months = [("A", dt.date(2023, m, 1), 10.0 * m) for m in range(1, 7)]
+    months += [(None, dt.date(2023, m, 1), 20.0 * m) for m in (1, 2, 4)]
+    months += [("B", dt.date(2023, 1, 1), 5.0)]
+    monthly = spark.createDataFrame(months, "region string, order_month date, value double")
+    got = rows(fc.future_forecast(monthly, 2, group_cols=["region"]), "region", "forecast", "lower")
+    assert sorted(str(r[0]) for r in got) == ["A", "A", "B", "B", "None", "None"]
+    assert all(r[1] is not None for r in got)
+    assert {r[0] for r in got if r[2] is None} == {"B"}
+
+
+def test_gaps_of_the_null_group_are_filled(spark):
+    view = spark.createDataFrame(
+        [(None, dt.date(2023, 1, 1), 3.0), (None, dt.date(2023, 3, 1), 4.0)],
+        "region string, order_month date, sales double")
+    got = rows(fc.aggregate_monthly(view, "sales", ["region"], fill_gaps=True), "order_month", "value")
+    assert [v for _, v in sorted(got)] == [3.0, 0.0, 4.0]
