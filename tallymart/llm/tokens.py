@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tallymart.llm.common import runs_between, small_batches
 
-SEGMENT_IDS = 1_000_000
+SEGMENT_IDS = 250_000
 _SAMPLE = 64
 
 
@@ -93,7 +93,7 @@ class WordwiseEncoder:
     the tokens that start with the space. At most about ``most_words`` are remembered.
     """
 
-    def __init__(self, path: str, most_words: int = 800_000):
+    def __init__(self, path: str, most_words: int = 300_000):
         # One thread a task: a pool of threads in every worker costs memory and shares no work.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -210,8 +210,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
         encoder = WordwiseEncoder(tokenizer)  # a worker holds the words of one task at a time
         width = 2 if max(len(encoder.opens) - 1, end_id) < 1 << 16 else 4
         part, seq, held, numbers, rows = TaskContext.get().partitionId(), 0, 0, [], []
-        for piece in small_batches(batches, 3_000_000):
+        for piece in small_batches(batches, 1_000_000):
             ids, ends = encoder.encode(piece.column("text"))
+            pa.default_memory_pool().release_unused()
             docs_of = piece.column("doc_id").to_pylist()
             for doc_id, a, b in zip(docs_of, np.append(0, ends[:-1]), ends):
                 numbers.append(doc_id)
