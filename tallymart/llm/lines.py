@@ -98,8 +98,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3,
         kept, (marks["line"] == kept["line"]) & marks["doc_id"].eqNullSafe(kept["_k"]), "left_anti")
     per_row = gone.groupBy(F.col("doc_id").alias("_d"), F.col("_text").alias("_t")).agg(
         F.collect_list("pos").alias("_gone"))
+    # Both sides grow with the documents: a merge join at every size, never a broadcast.
     joined = texts.join(
-        per_row, texts["doc_id"].eqNullSafe(per_row["_d"]) & (texts["_text"] == per_row["_t"]),
+        per_row.hint("merge"), texts["doc_id"].eqNullSafe(per_row["_d"]) & (texts["_text"] == per_row["_t"]),
         "left").select("doc_id", F.split("text", "\n", -1).alias("lines"), "_gone")
 
     # array_except hashes, so a row with many lines and many gone costs their sum.
