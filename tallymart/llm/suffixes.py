@@ -8,8 +8,9 @@ doc_id that has them.
 The suffixes of these stretches are then sorted as far as 50 bytes. Positions that are
 1 or 2 modulo 3 are the sample. Their triples of bytes are names already; triples of
 names are sorted and named twice more (9, then 27 bytes), which is the recursion on
-names, ended where a pair of names reaches far enough. The remaining positions are
-merged in by the cover property: whatever two positions are compared, going on 0, 1
+names, ended where a pair of names reaches far enough. A name that one sample position
+alone has is settled: no string with it is repeated at that shift, and it goes no
+further. The remaining positions are merged in by the cover property: whatever two positions are compared, going on 0, 1
 or 2 bytes brings both to sample positions, so a position is keyed by those of its
 shifts that do. Equal neighbours in that order are equal 50-byte strings, and the
 smallest doc_id among them decides. Sorting is by ranges of the keys, cut at quantiles.
@@ -49,11 +50,11 @@ def _ahead(values: np.ndarray, n: int) -> np.ndarray:
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    h = mix(data.astype(np.uint64) + np.uint64(1))
-    by = {1: h}
-    for n in (1, 2, 4, 8):
-        by[2 * n] = by[n] * _power(n) + _ahead(by[n], n)
-    return mix(by[16] * _power(8) + _ahead(by[8], 16))
+    eight = mix(data.astype(np.uint64) + np.uint64(1))
+    for n in (1, 2, 4):
+        eight = eight * _power(n) + _ahead(eight, n)
+    sixteen = eight * _power(8) + _ahead(eight, 8)
+    return mix(sixteen * _power(8) + _ahead(eight, 16))
 
 
 def _slide(values: np.ndarray, n: int, least) -> np.ndarray:
@@ -134,29 +135,52 @@ def _stretches(docs: pa.Table, told: pa.Table) -> pa.Table:
 
 # --- the difference-cover sort of the stretches -----------------------------------------
 
-def _distinct(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Different rows in lexicographic order, and which of them each row is."""
-    order = np.lexsort(columns[::-1])
+def _packed(columns: list[np.ndarray], bits: list[int]) -> np.ndarray | None:
+    """Columns of so many bits side by side in one number that sorts alike, if they fit."""
+    if sum(bits) > 64:
+        return None
+    key = columns[0].astype(np.uint64)
+    for c, n in zip(columns[1:], bits[1:]):
+        key = (key << np.uint64(n)) | c.astype(np.uint64)
+    return key
+
+
+def _distinct(columns: list[np.ndarray], bits: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """One row of each of the different rows, in lexicographic order, and which of them each row is."""
+    packed = _packed(columns, bits) if bits else None
+    if packed is None:
+        order = np.lexsort(columns[::-1])
+    else:
+        order, columns = np.argsort(packed), [packed]
     opens = np.zeros(len(order), bool)
     opens[:1] = True
     for c in columns:
-        opens[1:] |= c[order][1:] != c[order][:-1]
+        c = c[order]
+        opens[1:] |= c[1:] != c[:-1]
     which = np.empty(len(order), np.int64)
     which[order] = np.cumsum(opens) - 1
-    first = order[opens]
-    return [c[first] for c in columns], which
+    return order[opens], which
 
 
 def _squeeze(columns: list[np.ndarray]) -> bytes:
     """Columns of equal length; the first one is sorted and kept as steps."""
     steps = np.diff(columns[0].astype(np.uint64), prepend=np.uint64(0))
-    planes = [c.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes() for c in (steps, *columns[1:])]
-    return zlib.compress(b"".join(planes), 1)
+    planes, widths = [], []
+    for c in (steps, *columns[1:]):
+        widths.append(max(1, (int(c.max(initial=0)).bit_length() + 7) // 8))
+        planes.append(c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :widths[-1]].T.tobytes())
+    return bytes(widths) + zlib.compress(b"".join(planes), 1)
 
 
 def _expand(data: bytes, n: int) -> list[np.ndarray]:
-    raw = np.frombuffer(zlib.decompress(data), np.uint8).reshape(n, 8, -1)
-    columns = [np.ascontiguousarray(p.T).reshape(-1).view("<u8") for p in raw]
+    widths, raw = data[:n], np.frombuffer(zlib.decompress(data[n:]), np.uint8)
+    size = len(raw) // sum(widths)
+    columns, begin = [], 0
+    for width in widths:
+        column = np.zeros((size, 8), np.uint8)
+        column[:, :width] = raw[begin:begin + width * size].reshape(width, size).T
+        columns.append(column.reshape(-1).view("<u8"))
+        begin += width * size
     columns[0] = np.cumsum(columns[0], dtype=np.uint64)
     return columns
 
@@ -175,32 +199,53 @@ class _Stretches:
         place = np.arange(self.n + 64)
         self.sample = place[place % 3 != 0]
 
-    def nine(self) -> list[np.ndarray]:
-        """The nine bytes from every sample position: three triples, in two numbers."""
+    def nine(self) -> tuple[list[np.ndarray], np.ndarray]:
+        """The different nine bytes from sample positions (three triples, in two numbers), and which each has."""
         high = np.zeros(len(self.sample), np.uint64)
         for k in range(8):
             high = (high << np.uint64(8)) | self.data[self.sample + k]
-        return [high, self.data[self.sample + 8].astype(np.uint64)]
-
-    def spread(self, names: np.ndarray) -> np.ndarray:
-        full = np.zeros(self.n + 128, np.uint64)
-        full[self.sample] = names
+        columns = [high, self.data[self.sample + 8].astype(np.uint64)]
+        used = np.bincount(self.data, minlength=256) > 0
+        bits = int(used.sum() - 1).bit_length()
+        if 9 * bits > 64:
+            first, which = _distinct(columns)
+        else:  # few different bytes: all nine in one number
+            letters = (np.cumsum(used) - 1).astype(np.uint8)[self.data]
+            first, which = _distinct([letters[self.sample + k] for k in range(9)], [bits] * 9)
+        return [c[first] for c in columns], which
+
+    def ranks(self, places: np.ndarray, which: np.ndarray, names: np.ndarray) -> np.ndarray:
+        """For every place one more than the number of its name, 0 where it is settled or has none."""
+        full = np.zeros(self.n + 128, np.int64)
+        full[places] = np.where(names[which] > 0, which + 1, 0)
         return full
 
-    def merged(self, names: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Places whose 50 bytes lie in a stretch, and their keys: one for each shift to the sample."""
-        ends = np.cumsum(self.sizes)
-        room = np.repeat(ends, self.sizes) - np.arange(self.n)
-        at = np.flatnonzero(room >= LENGTH)
+    def twenty_seven(self, ranks: np.ndarray, names: np.ndarray):
+        """Sample places with three names not settled, their different names, and which each has."""
+        at = self.sample[ranks[self.sample] > 0]
+        at = at[at < self.n]
+        at = at[(ranks[at + 9] > 0) & (ranks[at + 18] > 0)]
+        columns = [ranks[at + k] - 1 for k in (0, 9, 18)]
+        first, which = _distinct(columns, [len(names).bit_length()] * 3)
+        return at, [names[c[first]] for c in columns], which
+
+    def merged(self, ranks: np.ndarray, names: np.ndarray):
+        """Places whose 50 bytes lie in a stretch, once for each shift to the sample whose names
+        are not settled; their different keys, and which each has."""
+        room = np.repeat(np.cumsum(self.sizes), self.sizes) - np.arange(self.n)
+        inside = room >= LENGTH
         parts = []
         for shift in range(3):
-            a = at[(at + shift) % 3 != 0]
+            a = np.flatnonzero(inside & (ranks[shift:self.n + shift] > 0)
+                               & (ranks[shift + 21:self.n + shift + 21] > 0))
             first = a + shift  # two names of 27 bytes, 21 apart, are 48 bytes; two are left
             rest = [self.data[a + k] if k < shift else self.data[a + 48 + k] for k in range(2)]
-            left = (np.uint64(shift) << np.uint64(16)) | (rest[0].astype(np.uint64) << np.uint64(8)) | rest[1]
-            parts.append((a, names[first], names[first + 21], left))
-        return np.concatenate([p[0] for p in parts]), [
-            np.concatenate([p[k] for p in parts]) for k in (1, 2, 3)]
+            left = (shift << 16) | (rest[0].astype(np.int64) << 8) | rest[1]
+            parts.append((a, ranks[first] - 1, ranks[first + 21] - 1, left))
+        at, one, two, left = (np.concatenate(c) for c in zip(*parts))
+        bits = len(names).bit_length()
+        first, which = _distinct([one, two, left], [bits, bits, 18])
+        return at, [names[one[first]], names[two[first]], left[first].astype(np.uint64)], which
 
 
 _STEPS = ("nine", "twenty-seven", "merge")
@@ -209,29 +254,34 @@ _STEPS = ("nine", "twenty-seven", "merge")
 def _round(docs: pa.Table, told: pa.Table):
     """The step not answered yet with its different keys, or the last with its answer."""
     s = _Stretches(docs)
-    keys, which = _distinct(s.nine())
-    for step in (0, 1):
+    at = s.sample
+    keys, which = s.nine()
+    for step, then in enumerate((s.twenty_seven, s.merged)):
         names = answer_names(told, step)
         if names is None:
-            return s, step, keys, which, None
-        full = s.spread(names[which])
-        if step == 0:
-            gap = [full[s.sample], full[np.minimum(s.sample + 9, s.n + 127)],
-                   full[np.minimum(s.sample + 18, s.n + 127)]]
-            keys, which = _distinct(gap)
-    at, columns = s.merged(full)
-    keys, which = _distinct(columns)
+            return s, step, keys, which, at
+        at, keys, which = then(s.ranks(at, which, names), names)
     return s, 2, keys, which, at
 
 
 def answer_names(told: pa.Table, step: int) -> np.ndarray | None:
+    """What came back for each key of a step; a settled name is 0. None if nothing was asked."""
     steps, ranges = told.column("step").to_numpy(), told.column("range").to_numpy()
     rows = np.flatnonzero(steps == step)
     if not len(rows):
         return None
-    cells = told.column("a")
-    return np.concatenate([_expand(cells[int(i)].as_py(), 1)[0]
-                           for i in rows[np.argsort(ranges[rows], kind="stable")]])
+    a, b, c = (told.column(name) for name in "abc")
+    parts = []
+    for i in map(int, rows[np.argsort(ranges[rows], kind="stable")]):
+        values = _expand(a[i].as_py(), 1)[0]
+        if step < 2:
+            n = int.from_bytes(c[i].as_py(), "little")
+            open_ = np.unpackbits(np.frombuffer(b[i].as_py(), np.uint8), count=n).astype(bool)
+            named = np.zeros(n, np.uint64)
+            named[open_] = (np.uint64(int(ranges[i])) << np.uint64(40)) | values
+            values = named
+        parts.append(values)
+    return np.concatenate(parts)
 
 
 def _ask_names(edges: np.ndarray):
@@ -243,35 +293,45 @@ def _ask_names(edges: np.ndarray):
         ranges = np.searchsorted(edges, keys[0], side="right") if step == 0 else keys[0] >> np.uint64(40)
         cuts = np.flatnonzero(np.diff(ranges.astype(np.int64), prepend=-1, append=1 << 40))
         columns = list(keys)
+        twice = np.bincount(which, minlength=len(keys[0])) > 1
         if step == 2:  # the smallest owner of each string in this unit goes along
             owner = np.repeat(s.owners, s.sizes)[at]
             least = np.full(len(keys[0]), _LAST_ID)
             np.minimum.at(least, which, owner)
             columns.append(least.astype(np.uint64))
         return message_rows([
-            (unit, step, int(ranges[i]), _squeeze([c[i:j] for c in columns]), b"",
-             len(columns).to_bytes(1, "little")) for i, j in zip(cuts[:-1], cuts[1:])])
+            (unit, step, int(ranges[i]), _squeeze([c[i:j] for c in columns]),
+             np.packbits(twice[i:j]).tobytes(), len(columns).to_bytes(1, "little")) for i, j in zip(cuts[:-1], cuts[1:])])
     return ask
 
 
 def _reply_names(group: pd.DataFrame) -> pd.DataFrame:
-    """Names in key order for the first two steps, the smallest owner for the last."""
+    """Names in key order, of those not settled, for the first two steps; the smallest owner for the last."""
     parts = [_expand(a, c[0]) for a, c in zip(group["a"], group["c"])]
     columns = [np.concatenate(c) for c in zip(*parts)]
-    step = group["step"].iloc[0]
-    _, which = _distinct(columns[:3] if step == 2 else columns)
-    if step == 2:
-        least = np.full(int(which.max()) + 1, _LAST_ID)
+    sizes = [len(p[0]) for p in parts]
+    cuts = np.cumsum(sizes)[:-1]
+    if group["step"].iloc[0] == 2:
+        first, which = _distinct(columns[:3])
+        least = np.full(len(first), _LAST_ID)
         np.minimum.at(least, which, columns[3].astype(np.int64))
-        found = least[which]
-    else:
-        found = (np.uint64(int(group["range"].iloc[0])) << np.uint64(40)) | which.astype(np.uint64)
-    cuts = np.cumsum([len(p[0]) for p in parts])[:-1]
-    return group.assign(a=[_squeeze([x]) for x in np.split(found.astype(np.uint64), cuts)], b=b"", c=b"")
+        return group.assign(a=[_squeeze([x]) for x in np.split(least[which].astype(np.uint64), cuts)],
+                            b=b"", c=b"")
+    first, which = _distinct(columns)
+    twice = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n)
+                            for b, n in zip(group["b"], sizes)]).astype(bool)
+    repeated = np.bincount(which) > 1
+    repeated[which[twice]] = True
+    open_ = repeated[which]
+    names = (which + 1).astype(np.uint64)
+    return group.assign(
+        a=[_squeeze([x[o]]) for x, o in zip(np.split(names, cuts), np.split(open_, cuts))],
+        b=[np.packbits(o).tobytes() for o in np.split(open_, cuts)],
+        c=[n.to_bytes(8, "little") for n in sizes])
 
 
 def _sampled_keys(docs: pa.Table, told: pa.Table) -> pa.Table:
-    keys = np.unique(_Stretches(docs).nine()[0])
+    keys = np.unique(_Stretches(docs).nine()[0][0])
     picked = keys[mix(keys) % np.uint64(997) == 0] ^ np.uint64(1 << 63)
     return pa.table({"key": pa.array(picked.view(np.int64))})
 
@@ -281,7 +341,7 @@ def _later_starts(docs: pa.Table, told: pa.Table) -> pa.Table:
     s, _, _, which, at = _round(docs, told)
     starts = np.zeros(s.n, bool)
     least = answer_names(told, 2)
-    if least is not None:
+    if least is not None:  # without an answer there was no key left to ask about
         owner = np.repeat(s.owners, s.sizes)[at].astype(np.uint64)
         starts[at[least[which] < owner]] = True
     flags = [np.packbits(x).tobytes() for x in np.split(starts, np.cumsum(s.sizes)[:-1])]
