@@ -179,3 +179,19 @@ def test_substrings(docs, odd, empty):
     assert got == brute.window_dedup(PLAIN, brute.words, 50, b" ".join)
     assert substrings.dedup_windows(odd).count() == len(ROWS) + 2
     assert substrings.dedup_windows(empty).count() == 0
+
+
+def test_suffix_columns_travel_whole():
+    for columns in ([[0, 0, 0], [7, 0, 1 << 47]], [[3, 3, 1 << 63], [0, 0, 0]], [[], []]):
+        columns = [np.array(c, np.uint64) for c in columns]
+        back = suffixes._expand(suffixes._squeeze(columns), 2)
+        assert [c.tolist() for c in back] == [c.tolist() for c in columns]
+
+
+def test_suffix_rows_are_told_apart_alike_packed_or_not():
+    rows = np.random.default_rng(3).integers(0, 5, (3, 400))
+    rows[0] += 1 << 20
+    first, which = suffixes._distinct(list(rows))
+    packed, same = suffixes._distinct(list(rows), [21, 21, 21])
+    assert (which == same).all() and (rows[:, first] == rows[:, packed]).all()
+    assert suffixes._packed(list(rows), [22, 22, 22]) is None
