@@ -38,6 +38,24 @@ def near_groups(docs: list[tuple]) -> dict:
     return {i: (f"{f:016x}", find(i)) for i, f in prints}
 
 
+def jaccard_groups(docs: list[tuple], least: float = 0.8) -> list:
+    """The smallest id of each row's group, by all pairs of five-word shingle sets."""
+    sets = []
+    for _, text in docs:
+        found = [w.lower() for w in words(text)]
+        sets.append({tuple(found[i:i + 5]) for i in range(max(1, len(found) - 4))} if found else set())
+    group = list(range(len(docs)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if group[i] != group[j] and (a == b or len(a & b) >= least * len(a | b) > 0):
+                group = [group[j] if g == group[i] else g for g in group]
+    least_id = {}
+    for (doc_id, _), g in zip(docs, group):
+        if doc_id is not None:
+            least_id[g] = min(doc_id, least_id.get(g, doc_id))
+    return [least_id.get(g) for g in group]
+
+
 def window_dedup(docs: list[tuple], parts_of, width: int, join) -> dict:
     """doc_id -> (parts, removed, runs, sha256 of the rest), judged window by window."""
     owner: dict = {}
