@@ -5,8 +5,10 @@ shingles, every document is seen as overlapping windows of 2u shingles, u apart,
 that a window holds each passage of u shingles whole and the containment asked for
 becomes a Jaccard similarity of at least a fifth, however long the document. An item
 is a candidate for a document if any of 64 min-hashes agrees in any window; the
-chance to miss a passage is then below one in a million. Candidates are checked by
-the exact share of the item's shingles that the whole document contains.
+chance to miss a passage is then below one in a million. An item of at most eight
+shingles is too small for a window and looked up exactly: of u shingles, c of which
+have to be there, some u - c + 1 are looked for, one of which must be. Candidates are
+checked by the exact share of the item's shingles that the whole document contains.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ SHINGLE = 5
 CONTAINMENT = 0.8
 #: Items looked for in one pass over the documents; their hashes take about 20 MB.
 ITEMS_A_PASS = 20_000
-_SMALLEST = 8  # the first partition has items of up to so many shingles; each next twice as many
+_EXACT = 8  # items of up to so many shingles are looked up exactly
+_SMALLEST = 16  # the first partition has items of up to so many shingles; each next twice as many
 
 # ASCII letters are lower-cased, ASCII punctuation and control characters part words.
 _PARTS = bytes(range(33)) + bytes(c for c in range(33, 128) if not chr(c).isalnum())
@@ -84,6 +87,7 @@ class ItemIndex:
         self.shingles: dict[object, frozenset[bytes]] = {}
         self.partitions: dict[int, tuple[list, np.ndarray]] = {}
         self.short: dict[int, list] = {}  # items of fewer words than a shingle, by their hash
+        self.few: dict[int, list] = {}  # items of up to _EXACT shingles, by hashes one of which must be there
         sized: dict[int, list] = {}
         for item_id, text in items:
             words = words_of(text.encode())
@@ -94,6 +98,11 @@ class ItemIndex:
             if len(words) < SHINGLE:
                 self.short.setdefault(int(hashes[0]), []).append((item_id, len(words)))
                 continue
+            if len(hashes) <= _EXACT:
+                needed = int(np.ceil(containment * len(hashes) - 1e-9))
+                for h in hashes[:len(hashes) - needed + 1].tolist():
+                    self.few.setdefault(h, []).append(item_id)
+                continue
             size = _SMALLEST
             while size < len(hashes):
                 size *= 2
@@ -101,6 +110,7 @@ class ItemIndex:
         for size, rows in sized.items():
             self.partitions[size] = ([r[0] for r in rows], np.stack([r[1] for r in rows]))
         self.sizes = sorted(self.partitions)
+        self.few_hashes = np.array(sorted(self.few), np.uint64)
         # Per hash function a small table of the items' values rules most windows out at once.
         self.tables = {}
         for size, (_, mins) in self.partitions.items():
@@ -114,9 +124,17 @@ class ItemIndex:
     def candidates(self, hashes: list[np.ndarray]) -> set[tuple[int, object]]:
         """(number of the text, item) pairs for texts given by their shingle hashes."""
         sizes = np.array([len(h) for h in hashes])
-        if not self.sizes or not sizes.sum():
-            return set()
         found: set[tuple[int, object]] = set()
+        if not sizes.sum():
+            return found
+        if self.few:
+            joined, ends = np.concatenate(hashes), np.cumsum(sizes)
+            near = np.searchsorted(self.few_hashes, joined).clip(max=len(self.few_hashes) - 1)
+            for at in np.flatnonzero(self.few_hashes[near] == joined):
+                text = int(np.searchsorted(ends, at, side="right"))
+                found |= {(text, item) for item in self.few[int(joined[at])]}
+        if not self.sizes:
+            return found
         step = self.sizes[0]
         blocks = -(-sizes // step)
         owner = np.repeat(np.arange(len(sizes)), blocks)  # the text of each block
