@@ -26,6 +26,8 @@ FAMILIES = {
 }
 UNDETERMINED = "und"
 DIMENSIONS = 1 << 13
+#: Rows that a family machine is fitted on; at least one of every language.
+MACHINE_ROWS = 6_400
 
 
 def family_of(lang: str) -> str:
@@ -121,25 +123,28 @@ def _certainty(margin: float) -> float:
 
 
 def training_sample(docs: DataFrame, rows_per_lang: int = 400) -> DataFrame:
-    """At most ``rows_per_lang`` labelled rows of every language, by crc32 of the id."""
+    """lang, text and place (from 1) of at most ``rows_per_lang`` labelled rows of every language.
+
+    Rows are taken by a hash of the id, however many languages there are.
+    """
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL")
     order = F.xxhash64(F.col("doc_id").cast("string"))
     share = F.pmod(order, F.lit(1 << 20)) / float(1 << 20)
     # Twice the wanted number by a share of the hash, then the exact first ones of few rows.
-    sizes = F.broadcast(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(
-        F.desc("_n"), "lang").limit(200))  # no classifier here is meant for more languages
+    sizes = F.broadcast(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")))
     near = labelled.join(sizes, "lang").where(share < 2.0 * rows_per_lang / F.col("_n"))
     first = Window.partitionBy("lang").orderBy(order, "doc_id")
     return near.withColumn("_r", F.row_number().over(first)).where(
-        F.col("_r") <= rows_per_lang).select("lang", "text")
+        F.col("_r") <= rows_per_lang).select("lang", "text", F.col("_r").alias("place"))
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [features(t) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("lang"), pa.array([i.tobytes() for i, _ in found], pa.binary()),
-             pa.array([v.tobytes() for _, v in found], pa.binary())], ["lang", "at", "value"])
+            [batch.column("lang"), batch.column("place"),
+             pa.array([i.tobytes() for i, _ in found], pa.binary()),
+             pa.array([v.tobytes() for _, v in found], pa.binary())], ["lang", "place", "at", "value"])
 
 
 def _fit_group(group: pd.DataFrame) -> pd.DataFrame:
@@ -152,23 +157,28 @@ def _fit_group(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def fit(docs: DataFrame, rows_per_lang: int = 400) -> LanguageModel:
-    """Fit on ``docs`` with text and lang; the model's size depends on the languages only."""
-    sample = training_sample(docs, rows_per_lang).mapInArrow(
-        _featured, "lang string, at binary, value binary")
-    langs = sorted(r[0] for r in docs.where("lang IS NOT NULL AND text IS NOT NULL").select(
-        "lang").distinct().limit(200).collect())
+    """Fit on ``docs`` with text and lang; the model's size depends on the languages only.
+
+    Every language of the sample is learned. A family machine sees all languages, and
+    fewer rows of each from 16 languages on, so that its task stays bounded.
+    """
+    drawn = training_sample(docs, rows_per_lang)
+    langs = sorted(r[0] for r in drawn.select("lang").distinct().collect())
+    sample = drawn.mapInArrow(_featured, "lang string, place int, at binary, value binary")
     families = sorted({family_of(lang) for lang in langs})
-    tasks = []  # (machine, lang, side)
+    each = max(1, MACHINE_ROWS // max(1, len(langs)))
+    tasks = []  # (machine, lang, side, rows of the language)
     if len(families) > 1:
-        tasks += [(f"family {name}", lang, 1 if family_of(lang) == name else -1)
+        tasks += [(f"family {name}", lang, 1 if family_of(lang) == name else -1, each)
                   for name in families for lang in langs]
     pairs = [p for p in combinations(langs, 2) if family_of(p[0]) == family_of(p[1])]
     for a, b in pairs:
-        tasks += [(f"pair {a} {b}", a, 1), (f"pair {a} {b}", b, -1)]
+        tasks += [(f"pair {a} {b}", a, 1, rows_per_lang), (f"pair {a} {b}", b, -1, rows_per_lang)]
     if not tasks:
         return LanguageModel(langs, {}, {})
-    plan = docs.sparkSession.createDataFrame(tasks, "machine string, lang string, side int")
-    fitted = sample.join(F.broadcast(plan), "lang").groupBy("machine").applyInPandas(
+    plan = docs.sparkSession.createDataFrame(
+        tasks, "machine string, lang string, side int, most int")
+    fitted = sample.join(F.broadcast(plan), "lang").where("place <= most").groupBy("machine").applyInPandas(
         _fit_group, "machine string, weights binary").collect()
     machines = {r["machine"]: np.frombuffer(r["weights"]) for r in fitted}
     return LanguageModel(langs, {f: machines[f"family {f}"] for f in families if len(families) > 1},
