@@ -8,6 +8,7 @@ own; every text is then judged in one pass without a shuffle.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -204,3 +205,71 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType())])
     return docs.mapInArrow(judge, schema)
+
+
+_LEEWAY = 1.0
+_NO_LETTERS = re.compile(r"[\W\d_]+")
+
+
+def _letter_features(text: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """Gram indices and shares of the text's letters, and how many bytes they are."""
+    letters = _NO_LETTERS.sub(" ", text).strip()
+    index, values = features(letters)
+    return index, np.square(values, dtype=np.float64), len(letters.encode())
+
+
+def _slack(size: int | np.ndarray) -> float | np.ndarray:
+    """How far above the bar a text of so many bytes may be: few grams say little."""
+    return _LEEWAY + 4.0 / np.sqrt(np.maximum(size, 1))
+
+
+class Profiles:
+    """How common each gram is in each learned language, and how odd its texts are.
+
+    A text's oddness in a language is the mean of -log(gram's share) over the text's
+    grams; the bar of a language is what 99 of 100 of its labelled texts stay below,
+    each judged by the others of the sample.
+    """
+
+    def __init__(self, langs: list[str], costs: np.ndarray, bars: np.ndarray):
+        self.langs, self.costs, self.bars = langs, costs, bars
+
+    def knows(self, text: str | None) -> bool:
+        """Whether the text is hardly odder than a language's own texts; False without a letter."""
+        if not has_letter(text):
+            return False
+        index, shares, size = _letter_features(text)
+        return bool((self.costs[:, index] @ shares <= self.bars + _slack(size)).any())
+
+
+def _profile(group: pd.DataFrame) -> pd.DataFrame:
+    found = [f for f in map(_letter_features, group["text"]) if f[2]]
+    total, rest = np.zeros(DIMENSIONS), 1.0 / DIMENSIONS  # half a text's worth of even shares
+    for index, shares, _ in found:
+        total[index] += shares
+    odd = []
+    for index, shares, size in found:
+        others = (total[index] - shares + rest / 2) / (len(found) - 0.5)
+        odd.append(-shares @ np.log(np.maximum(others, rest / 2 / len(found))) - _slack(size) + _LEEWAY)
+    costs = -np.log((total + rest / 2) / (len(found) + 0.5))
+    bar = float(np.percentile(odd, 99)) if odd else -np.inf
+    return pd.DataFrame({"lang": [group["lang"].iloc[0]], "bar": [bar],
+                         "costs": [costs.astype(np.float32).tobytes()]})
+
+
+def fit_profiles(docs: DataFrame, rows_per_lang: int = 400) -> Profiles:
+    """Profiles of all languages in the training sample."""
+    rows = training_sample(docs, rows_per_lang).select("lang", "text").groupBy(
+        "lang").applyInPandas(_profile, "lang string, bar double, costs binary").collect()
+    rows.sort(key=lambda r: r["lang"])
+    costs = np.array([np.frombuffer(r["costs"], np.float32) for r in rows]).reshape(-1, DIMENSIONS)
+    return Profiles([r["lang"] for r in rows], costs, np.array([r["bar"] for r in rows]))
+
+
+def keep_known(docs: DataFrame, profiles: Profiles) -> DataFrame:
+    """Rows of ``docs`` whose text looks like one of the learned languages."""
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([profiles.knows(t.as_py()) for t in batch.column("text")], pa.bool_()))
+
+    return docs.mapInArrow(judge, docs.schema)
