@@ -113,7 +113,7 @@ def score_documents(docs: DataFrame, targets: DataFrame, smoothing: float = SMOO
     """
     units = Units(docs)
     wanted = targets.where("doc_id IS NOT NULL").select("doc_id").distinct()
-    packed = wanted.withColumn("unit", units.unit_of("doc_id")).groupBy("unit").applyInPandas(
+    packed = units.with_ids(wanted).groupBy("unit").applyInPandas(
         lambda group: pd.DataFrame(
             [(group["unit"].iloc[0], _TARGETS, 0, group["doc_id"].to_numpy("<i8").tobytes(), b"", b"")],
             columns=["unit", "step", "range", "a", "b", "c"]),

@@ -360,7 +360,7 @@ class _StretchUnits(Units):
     def columns(self, docs: DataFrame) -> DataFrame:
         return docs.select("doc_id", "text", "digest")
 
-    def unit_of(self, column: str):
+    def unit_of(self):
         return F.pmod(F.xxhash64(F.col("digest")), F.lit(self.count))
 
 

@@ -29,7 +29,12 @@ _MESSAGE = pa.schema([("unit", pa.int64()), ("step", pa.int32()), ("range", pa.i
 
 
 class Units:
-    """A document table dealt into units by doc_id; rows of one id share a unit."""
+    """A document table dealt into units row by row.
+
+    Neither rows without an id nor repeated rows share a unit, so a unit stays near
+    ``unit_bytes`` whatever the ids are. Rows are told apart by their place in ``docs``,
+    which should be a written table, so that a repeated task deals them alike.
+    """
 
     def __init__(self, docs: DataFrame, unit_bytes: int = UNIT_BYTES):
         spark = docs.sparkSession
@@ -39,7 +44,7 @@ class Units:
         self.ranges = max(64, -(-size // RANGE_BYTES))
         partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
         name = f"text_units_{uuid.uuid4().hex}"
-        texts.withColumn("unit", self.unit_of("doc_id")).repartition(partitions, "unit").write.option(
+        texts.withColumn("unit", self.unit_of()).repartition(partitions, "unit").write.option(
             "path", new_scratch_path(spark, "units")).option("compression", "zstd").bucketBy(
             partitions, "unit").sortBy("unit").saveAsTable(name)
         self.table = spark.table(name)
@@ -48,8 +53,12 @@ class Units:
         empty = F.lit("").cast(docs.schema["text"].dataType)
         return docs.select("doc_id", F.coalesce(F.col("text"), empty).alias("text"))
 
-    def unit_of(self, column: str):
-        return F.pmod(F.xxhash64(F.col(column)), F.lit(self.count))
+    def unit_of(self):
+        return F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(self.count))
+
+    def with_ids(self, ids: DataFrame) -> DataFrame:
+        """doc_id and unit: every unit that holds rows of the (distinct) ids."""
+        return self.table.select("doc_id", "unit").distinct().join(ids, "doc_id")
 
     def run(self, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str,
             answers: list[DataFrame]) -> DataFrame:
