@@ -19,11 +19,12 @@ _TIMETABLE = """
 aggregate(
   sequence(0, size(quotas) * 0 + cast(period as int) - 1),
   named_struct('used', transform(quotas, q -> 0L), 'slots', cast(array() as array<int>)),
-  (acc, t) -> transform(array(int(array_min(filter(
+  (acc, t) -> transform(array(array_min(filter(
       transform(quotas, (q, i) -> if((acc.used[i] * period) div q <= t,
-                                     (((acc.used[i] + 1) * period + q - 1) div q) * 100000 + i,
+                                     named_struct('due', ((acc.used[i] + 1) * period + q - 1) div q,
+                                                  'i', i),
                                      null)),
-      d -> d is not null)) % 100000)),
+      d -> d is not null)).i),
     pick -> named_struct('used', transform(acc.used, (u, i) -> u + if(i = pick, 1L, 0L)),
                          'slots', concat(acc.slots, array(pick))))[0],
   acc -> acc.slots)
@@ -36,7 +37,8 @@ def target_quotas(docs: DataFrame, weights: DataFrame | None = None,
 
     ``weights`` has (source, weight). Without it a source weighs the whole part of
     the square root of its rows. Every source has at least one slot, so one
-    without a positive weight gets the least share. Fewer than 100,000 sources.
+    without a positive weight gets the least share. Shares are rounded to whole slots
+    (MIX_SQL says the same): the real weight is met up to half a slot in a period.
     """
     counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("_n"))
     if weights is None:
