@@ -21,7 +21,7 @@ _TINY = 1e-300
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta, by modified Lentz steps."""
+    """Continued fraction of the incomplete beta, by modified Lentz steps; NaN if it does not converge."""
     front, top, bottom = 1.0, 1.0, 1.0 - (a + b) * x / (a + 1.0)
     bottom = 1.0 / (bottom if abs(bottom) > _TINY else _TINY)
     front = bottom
@@ -35,8 +35,8 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             top = top if abs(top) > _TINY else _TINY
             front *= top * bottom
         if abs(top * bottom - 1.0) < 1e-15:
-            break
-    return front
+            return front
+    return math.nan  # not converged
 
 
 def _beta_share(a: float, b: float, x: float) -> float:
@@ -65,11 +65,16 @@ def quantile(p: float, df: float) -> float:
     low, high = 0.0, 1.0
     while two_sided_p(high, df) > tail:
         low, high = high, high * 2.0
+    if math.isnan(two_sided_p(high, df)):
+        return math.nan
     for _ in range(200):
         middle = (low + high) / 2.0
         if middle in (low, high):
             break
-        low, high = (middle, high) if two_sided_p(middle, df) > tail else (low, middle)
+        here = two_sided_p(middle, df)
+        if math.isnan(here):
+            return math.nan
+        low, high = (middle, high) if here > tail else (low, middle)
     return math.copysign((low + high) / 2.0, p - 0.5)
 
 
