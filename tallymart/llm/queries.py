@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallymart.llm import (
-    decontaminate, exact, language, lines, mixing, scoring, simhash, substrings, suffixes, tokens)
+    decontaminate, exact, language, lexical, licenses, lines, mixing, scoring, simhash, spelling, substrings,
+    suffixes, tokens)
 from tallymart.llm.common import LOWER, UPPER, new_scratch_path, table
 from tallymart.session import configure
 
@@ -82,6 +83,18 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=50)
+
+
+def op12_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_digest(licenses.scan_licenses(table(spark, folder, "documents")))
+
+
+def op13_spelling_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, folder, "documents"))
+
+
 def _fold_sql() -> str:
     """The two translate() arguments that fold a text the way the operator does."""
     parts = [*range(1, 33), *(c for c in range(33, 128) if not chr(c).isalnum())]
@@ -101,6 +114,9 @@ _BUILD: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "op8_decontaminate": (op8_decontaminate, decontaminate.LEAK_SQL.format(fold=_fold_sql())),
     "op9_suffix_dedup": (op9_suffix_dedup, None),
     "op10_substring_dedup": (op10_substring_dedup, None),
+    "op11_lexical_search": (op11_lexical_search, lexical.SEARCH_SQL.format(upper=UPPER, lower=LOWER)),
+    "op12_license_scan": (op12_license_scan, None),
+    "op13_spelling_groups": (op13_spelling_groups, None),
 }
 
 

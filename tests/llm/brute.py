@@ -91,3 +91,85 @@ def containment(docs: list[tuple], items: list[tuple], least: float = 0.8) -> di
             if want and len(want & have) >= least * len(want):
                 out[i, k] = len(want & have), len(want)
     return out
+
+
+_FOLD = {chr(k): chr(k + 32) for k in range(65, 91)}
+
+
+def lower_ascii(text: str) -> str:
+    return "".join(_FOLD.get(c, c) for c in text)
+
+
+def search(docs: list[tuple], items: list[tuple], k: int) -> list[tuple]:
+    """(item_id, rank, doc_id, score), every document scored for every item."""
+    import math
+
+    pattern = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    split = [(i, [lower_ascii(w) for w in re.findall(pattern, t or "")]) for i, t in docs]
+    split = [(i, w) for i, w in split if w]
+    n_docs, n_terms = len(split), sum(len(w) for _, w in split)
+    out = []
+    for item_id, text in items:
+        weights = {}
+        for term in {lower_ascii(w) for w in re.findall(pattern, text or "")}:
+            df = sum(term in w for _, w in split)
+            weights[term] = math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df + 1)))
+        scored = []
+        for i, w in split:
+            m = 100 - 50 + 50 * len(w) * n_docs // n_terms
+            score = sum(x * (10 ** 9 * w.count(t) // (1000 * w.count(t) + 20 * m)) for t, x in weights.items())
+            if score > 0:
+                scored.append((-score, i is None, i or 0, i))
+        out += [(item_id, rank, row[3], -row[0]) for rank, row in enumerate(sorted(scored)[:k], 1)]
+    return out
+
+
+def license_places(text: str | None, phrases) -> tuple[int, list[tuple]]:
+    """Number of words, and (first word, label) of every place of a phrase."""
+    found = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower_ascii(text or ""))
+    places = [(at, label) for phrase, label in phrases for at in range(len(found))
+              if found[at:at + len(phrase.split())] == phrase.split()]
+    return len(found), sorted(places)
+
+
+def suppressed(found: list[tuple], kind_of) -> list[tuple]:
+    """(start, end, order) that no better one holds, by all pairs."""
+    found = sorted(set(found))
+
+    def beats(a, b):
+        inside = a[0] <= b[0] and a[1] >= b[1]
+        ka, kb = kind_of[a[2]], kind_of[b[2]]
+        return inside and (ka < kb or ka == kb and ((a[0], a[1]) != (b[0], b[1]) or a[2] < b[2]))
+    return [b for b in found if not any(beats(a, b) for a in found if a != b)]
+
+
+def spelling(docs: list[tuple]) -> dict:
+    """word -> (form, root, n, n_near, form_n), by all pairs of words."""
+    import zlib
+    from collections import Counter
+
+    counts = Counter()
+    for i, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = lower_ascii(run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if h % 97 == 0:
+                run = run[:h % len(run)] + run[h % len(run) + 1:]
+            counts[run] += 1
+    n = {w: c for w, c in counts.items() if len(w) >= 5 and c >= 3}
+
+    def near(a, b):
+        if len(a) > len(b):
+            a, b = b, a
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        return len(a) + 1 == len(b) and any(b[:k] + b[k + 1:] == a for k in range(len(b)))
+    beside = {w: [v for v in n if near(w, v)] for w in n}
+    form = {}
+    for w, others in beside.items():
+        best = min(others, key=lambda v: (-n[v], v), default=None)
+        form[w] = best if best is not None and n[best] >= 2 * n[w] else None
+
+    def root(w):
+        return w if form[w] is None else root(form[w])
+    return {w: (form[w], root(w), n[w], len(beside[w]), n[form[w]] if form[w] else None) for w in n}
