@@ -30,16 +30,19 @@ KPIS = """CAST(COALESCE(SUM(sales), 0) AS DOUBLE) AS total_revenue,
         ROUND(CAST(SUM(sales) AS DOUBLE) / NULLIF(COUNT(DISTINCT order_id), 0), 6)
           AS avg_order_value"""
 
+# Sales of the star data have no outlier; margins have some on every scale.
 QUARTILES = """quartiles AS (
-  SELECT quantile_cont(CAST(sales AS DOUBLE), 0.25) AS q1,
-         quantile_cont(CAST(sales AS DOUBLE), 0.5) AS median,
-         quantile_cont(CAST(sales AS DOUBLE), 0.75) AS q3 FROM flat)"""
+  SELECT quantile_cont(profit_margin, 0.25) AS q1, quantile_cont(profit_margin, 0.5) AS median,
+         quantile_cont(profit_margin, 0.75) AS q3 FROM flat)"""
 FENCED = """fenced AS (
-  SELECT CAST(sales AS DOUBLE) AS x, q1, median, q3,
-         q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high FROM flat, quartiles)"""
-SPAN = """spans AS (
-  SELECT MIN(CAST(sales AS DOUBLE)) AS lo,
-         (MAX(CAST(sales AS DOUBLE)) - MIN(CAST(sales AS DOUBLE))) / 40 AS width FROM flat)"""
+  SELECT profit_margin AS x, q1, median, q3,
+         q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high
+  FROM flat, quartiles WHERE profit_margin IS NOT NULL)"""
+
+
+def _span(x: str) -> str:
+    return f"spans AS (SELECT MIN({x}) AS lo, (MAX({x}) - MIN({x})) / 40 AS width FROM flat)"
+
 
 
 def _bins(kind: str, source: str) -> str:
@@ -161,21 +164,22 @@ ENTRIES = {
             for a in charts.CORRELATED for b in charts.CORRELATED))),
     "ch8_sales_histogram": (
         lambda m: settle(charts.sales_histogram(_view(m, "sales"))),
-        flat(_bins("", "(SELECT CAST(sales AS DOUBLE) AS x FROM flat) AS f"), SPAN)),
+        flat(_bins("", "(SELECT CAST(sales AS DOUBLE) AS x FROM flat) AS f"),
+             _span("CAST(sales AS DOUBLE)"))),
     "ch9_outlier_histogram": (
-        lambda m: settle(charts.outlier_histogram(_view(m, "sales"))),
-        flat(_bins("kind,", "kinds"), SPAN, QUARTILES, FENCED, """kinds AS (
+        lambda m: settle(charts.outlier_histogram(_view(m, "profit_margin"), column="profit_margin")),
+        flat(_bins("kind,", "kinds"), _span("profit_margin"), QUARTILES, FENCED, """kinds AS (
           SELECT x, CASE WHEN x < low OR x > high THEN 'Outlier' ELSE 'Typical' END AS kind
           FROM fenced)""")),
     "ch10_box_plot": (
-        lambda m: settle(charts.box_plot(_view(m, "sales"))), flat("""
+        lambda m: settle(charts.box_plot(_view(m, "profit_margin"), "profit_margin")), flat("""
         SELECT ROUND(ANY_VALUE(q1), 6) AS q1, ROUND(ANY_VALUE(median), 6) AS median,
-               ROUND(ANY_VALUE(q3), 6) AS q3, MIN(x) FILTER (WHERE x >= low) AS whisker_low,
-               MAX(x) FILTER (WHERE x <= high) AS whisker_high,
+               ROUND(ANY_VALUE(q3), 6) AS q3, ROUND(MIN(x) FILTER (WHERE x >= low), 6) AS whisker_low,
+               ROUND(MAX(x) FILTER (WHERE x <= high), 6) AS whisker_high,
                COUNT(*) FILTER (WHERE x < low OR x > high) AS fliers
         FROM fenced""", QUARTILES, FENCED)),
     "ch10_box_fliers": (
-        lambda m: charts.box_fliers(_view(m, "sales")), flat("""
-        SELECT x AS sales, COUNT(*) AS n FROM fenced WHERE x < low OR x > high GROUP BY x""",
+        lambda m: charts.box_fliers(_view(m, "profit_margin"), "profit_margin"), flat("""
+        SELECT x AS profit_margin, COUNT(*) AS n FROM fenced WHERE x < low OR x > high GROUP BY x""",
         QUARTILES, FENCED)),
 }

@@ -10,8 +10,9 @@ PROFIT = money("SUM(profit)") + " AS profit"
 MARGIN = pct("SUM(profit)", "SUM(sales)") + " AS margin_pct"
 MEAN_MARGIN = "ROUND(AVG(profit_margin) * 100, 2) AS avg_margin_pct"
 
-# Categories of the star data that become columns of the region matrix.
-MATRIX = {"ECONOMY": "economy_revenue", "SMALL": "small_revenue", "STANDARD": "standard_revenue"}
+# All categories of the star data, each a column of the region matrix.
+CATEGORIES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+MATRIX = {category: f"{category.lower()}_revenue" for category in CATEGORIES}
 
 MONTHLY = """monthly AS (
   SELECT order_month, SUM(sales) AS amount FROM flat GROUP BY order_month)"""

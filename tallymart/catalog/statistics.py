@@ -24,10 +24,10 @@ def _describe(column: str) -> str:
         FROM flat""")
 
 
-# Revenue and margin have rows beyond either rule on any scale of the data.
+# Sales of the star data have no value beyond the fences; margins have some on every scale.
 BOUNDS = """bounds AS (
-  SELECT quantile_cont(CAST(sales AS DOUBLE), 0.25) AS q1,
-         quantile_cont(CAST(sales AS DOUBLE), 0.75) AS q3 FROM flat)"""
+  SELECT quantile_cont(profit_margin, 0.25) AS q1, quantile_cont(profit_margin, 0.75) AS q3
+  FROM flat)"""
 
 MOMENTS = """moments AS (
   SELECT COUNT(*) AS n, AVG(profit_margin) AS m, var_samp(profit_margin) AS v, {dim} AS g
@@ -52,11 +52,17 @@ ENTRIES = {
             f"ROUND(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6) AS correlation FROM flat"
             for a in ("sales", "quantity", "discount") for b in ("sales", "quantity", "discount")))),
     "st3_outliers_iqr": (
-        lambda m: stats.outliers_iqr(m.lines("order_id", "product_id", "sales"), "sales"), flat("""
-        SELECT order_id, product_id, sales,
-               CAST(sales AS DOUBLE) < q1 - 1.5 * (q3 - q1)
-               OR CAST(sales AS DOUBLE) > q3 + 1.5 * (q3 - q1) AS is_outlier
+        lambda m: stats.outliers_iqr(
+            m.lines("order_id", "product_id", "sales", "profit_margin"), "profit_margin"), flat("""
+        SELECT order_id, product_id, sales, profit_margin,
+               COALESCE(profit_margin < q1 - 1.5 * (q3 - q1)
+                        OR profit_margin > q3 + 1.5 * (q3 - q1), FALSE) AS is_outlier
         FROM flat, bounds""", BOUNDS)),
+    "st3_quartiles_bracketed": (
+        lambda m: settle(stats.quartiles(m.lines("sales"), "sales")), flat("""
+        SELECT ROUND(quantile_cont(CAST(sales AS DOUBLE), 0.25), 6) AS q1,
+               ROUND(quantile_cont(CAST(sales AS DOUBLE), 0.5), 6) AS median,
+               ROUND(quantile_cont(CAST(sales AS DOUBLE), 0.75), 6) AS q3 FROM flat""")),
     "st4_outliers_zscore": (
         lambda m: stats.outliers_zscore(
             m.lines("order_id", "product_id", "profit_margin"), "profit_margin"), flat("""

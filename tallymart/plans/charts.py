@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tallymart.functions.measures import nonzero, ratio, real
-from tallymart.plans.ordered import exact_quantiles
-from tallymart.plans.stats import correlation_matrix, outliers_iqr
+from tallymart.functions.measures import ratio, real
+from tallymart.plans.counts import ValueCounts, fences_of
+from tallymart.plans.stats import correlation_matrix
 
 CORRELATED = ("sales", "quantity", "discount", "profit", "profit_margin")
 
@@ -73,25 +73,12 @@ def correlation_heatmap(view: DataFrame) -> DataFrame:
     return correlation_matrix(view, CORRELATED)
 
 
-def histogram(df: DataFrame, column: str, bins: int = 40, split_by: str | None = None) -> DataFrame:
-    """CH8, CH9: equal-width bins from minimum to maximum; the maximum is in the last.
+def histogram(df: DataFrame, column: str, bins: int = 40) -> DataFrame:
+    """CH8: equal-width bins from minimum to maximum; the maximum is in the last.
 
     Empty bins have no row. Where all values are equal the range is one wide around them.
     """
-    x = real(column)
-    span = df.agg(F.min(x).alias("low"), F.max(x).alias("high"))
-    half = F.when(F.col("low") == F.col("high"), 0.5).otherwise(0.0)
-    span = span.select((F.col("low") - half).alias("low"), (F.col("high") + half).alias("high"))
-    low, high = span.select("low").scalar(), span.select("high").scalar()
-    width = (high - low) / bins
-    number = F.least(F.floor((x - low) / nonzero(width)), F.lit(bins - 1))
-    binned = df.where(x.isNotNull()).withColumn("bin", (number + 1).cast("int"))
-    keys = ["bin"] if split_by is None else [split_by, "bin"]
-    return (
-        binned.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("bin_from", low + (F.col("bin") - 1) * width)
-        .withColumn("bin_to", low + F.col("bin") * width)
-        .orderBy(*keys))
+    return ValueCounts(df, column).bins(bins)
 
 
 def sales_histogram(view: DataFrame, bins: int = 40) -> DataFrame:
@@ -100,31 +87,33 @@ def sales_histogram(view: DataFrame, bins: int = 40) -> DataFrame:
 
 
 def outlier_histogram(view: DataFrame, flagged: DataFrame | None = None,
-                      bins: int = 40) -> DataFrame:
-    """CH9: ``flagged`` has ``sales`` and ``is_outlier``; by default the IQR rule."""
+                      bins: int = 40, column: str = "sales") -> DataFrame:
+    """CH9: ``flagged`` has the column and ``is_outlier``; by default the IQR rule."""
     if flagged is None:
-        flagged = outliers_iqr(view, "sales")
-    kind = F.when(F.col("is_outlier"), "Outlier").otherwise("Typical")
-    return histogram(flagged.withColumn("kind", kind), "sales", bins, "kind")
+        counts = ValueCounts(view, column)
+        outlier = counts.fences().outside(F.col("value"))
+    else:
+        counts = ValueCounts(flagged, column, by="is_outlier")
+        outlier = F.col("is_outlier")
+    return counts.bins(bins, F.when(outlier, "Outlier").otherwise("Typical"))
 
 
 def box_plot(df: DataFrame, column: str = "sales") -> DataFrame:
     """CH10: quartiles, whiskers at the furthest point inside the fences, fliers beyond."""
-    x = real(column)
-    quartiles = exact_quantiles(df, column, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    q1, median, q3 = (quartiles.select(q).scalar() for q in ("q1", "median", "q3"))
-    low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
-    return df.where(x.isNotNull()).agg(
-        F.max(q1).alias("q1"), F.max(median).alias("median"), F.max(q3).alias("q3"),
-        F.min(F.when(x >= low, x)).alias("whisker_low"),
-        F.max(F.when(x <= high, x)).alias("whisker_high"),
-        F.count_if((x < low) | (x > high)).alias("fliers"))
+    counts = ValueCounts(df, column)
+    q1, median, q3 = counts.quantiles(0.25, 0.5, 0.75)
+    fences = fences_of(q1, q3)
+    outside = fences.outside(F.col("value"))
+    inside = F.when(~outside, F.col("value"))
+    fixed = [F.lit(v).cast("double").alias(n) for n, v in (("q1", q1), ("median", median), ("q3", q3))]
+    return counts.table.agg(
+        F.min(inside).alias("whisker_low"), F.max(inside).alias("whisker_high"),
+        F.coalesce(F.sum(F.when(outside, F.col("copies"))), F.lit(0)).alias("fliers")).select(
+        *fixed, "whisker_low", "whisker_high", "fliers")
 
 
 def box_fliers(df: DataFrame, column: str = "sales") -> DataFrame:
     """CH10: the points beyond the fences, counted per value."""
-    return (
-        outliers_iqr(df, column).where("is_outlier")
-        .groupBy(real(column).alias(column)).agg(F.count(F.lit(1)).alias("n")).orderBy(column))
-
-
+    counts = ValueCounts(df, column)
+    return counts.table.where(counts.fences().outside(F.col("value"))).select(
+        F.col("value").alias(column), F.col("copies").alias("n")).orderBy(column)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallymart.functions.measures import pct, ratio, rounded
 from tallymart.operators.mart import Mart
-from tallymart.plans.ordered import OrderedBlocks, exact_quantiles
+from tallymart.plans.counts import exact_quantiles
+from tallymart.plans.ordered import OrderedBlocks
 from tallymart.session import stash
 
 

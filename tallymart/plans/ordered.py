@@ -143,38 +143,3 @@ class OrderedBlocks:
 def dense_ids(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
     """Number the rows 1..n by a total order, in parallel."""
     return OrderedBlocks(df, *order).row_number(name)
-
-
-def exact_quantiles(df: DataFrame, column: str, quantiles: dict[str, float]) -> DataFrame:
-    """One row with linearly interpolated quantiles of a numeric column.
-
-    Equal values are counted before they are ordered, so a hot value is one row.
-    """
-    values = (
-        df.where(F.col(column).isNotNull())
-        .groupBy(F.col(column).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("copies")))
-    return quantiles_of_counts(values, quantiles)
-
-
-def quantiles_of_counts(values: DataFrame, quantiles: dict[str, float]) -> DataFrame:
-    """As ``exact_quantiles``, from a table of (value, copies)."""
-    blocks = OrderedBlocks(values, "value")
-    total = blocks.rows.agg(F.sum("copies")).scalar()
-    ranks = {}
-    for name, q in quantiles.items():
-        place = F.lit(q) * (total - 1)
-        ranks[name] = {"lo": F.floor(place), "hi": F.ceil(place), "part": place - F.floor(place)}
-    reached = F.lit(False)
-    for rank in (r[side] for r in ranks.values() for side in ("lo", "hi")):
-        reached = reached | (
-            (F.col("before_upto") <= rank) & (rank < F.col("before_upto") + F.col("within_upto")))
-    upto = blocks.running_sums(only=reached, upto="copies")
-    found, answers = [], []
-    for name, rank in ranks.items():
-        for side in ("lo", "hi"):
-            here = (F.col("upto") > rank[side]) & (F.col("upto") - F.col("copies") <= rank[side])
-            found.append(F.max(F.when(here, F.col("value"))).alias(f"{name}_{side}"))
-        found.append(F.max(rank["part"]).alias(f"{name}_part"))
-        low, high = F.col(f"{name}_lo"), F.col(f"{name}_hi")
-        answers.append((low + (high - low) * F.col(f"{name}_part")).alias(name))
-    return upto.agg(*found).select(*answers)

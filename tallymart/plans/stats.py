@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallymart.functions.measures import format_fixed, nonzero, real
 from tallymart.functions.tdist import t_quantile, t_two_sided_p
-from tallymart.plans.ordered import exact_quantiles, quantiles_of_counts
-from tallymart.session import stash
+from tallymart.plans.counts import ValueCounts, bracketed_quantiles, fences_of, one_row
 
 
 def descriptive_stats(df: DataFrame, column: str) -> DataFrame:
@@ -18,16 +17,15 @@ def descriptive_stats(df: DataFrame, column: str) -> DataFrame:
     The data are read once, into a count per value; the rest works on those
     counts. Skewness is bias-corrected: 0 for a constant, NULL below three values.
     """
-    counts = stash(
-        df.where(F.col(column).isNotNull()).groupBy(real(column).alias("value"))
-        .agg(F.count(F.lit(1)).alias("copies")), "value-counts")
-    mode = counts.orderBy(F.desc("copies"), "value").limit(1).select("value").scalar()
-    median = quantiles_of_counts(counts, {"median": 0.5}).scalar()
-    weighted = F.sum(F.col("value") * F.col("copies"))
-    mean = counts.agg(weighted / nonzero(F.sum("copies"))).scalar()
-    off = F.col("value") - mean
+    values = ValueCounts(df, column)
+    counts = values.table
+    [median] = values.quantiles(0.5)
+    common = counts.orderBy(F.desc("copies"), "value").select("value").first()
+    mode = common[0] if common else None
+    mean = counts.agg(F.sum(F.col("value") * F.col("copies")) / nonzero(F.sum("copies"))).first()[0]
+    off = F.col("value") - mean if mean is not None else F.lit(None).cast("double")
     moments = counts.agg(
-        F.coalesce(F.sum("copies"), F.lit(0)).alias("count"), F.max(mean).alias("mean"),
+        F.coalesce(F.sum("copies"), F.lit(0)).alias("count"),
         F.sum(off * off * F.col("copies")).alias("squares"),
         F.sum(off * off * off * F.col("copies")).alias("cubes"),
         F.min("value").alias("min"), F.max("value").alias("max"))
@@ -38,7 +36,7 @@ def descriptive_stats(df: DataFrame, column: str) -> DataFrame:
         F.when(n < 3, None).when(F.col("min") == F.col("max"), F.lit(0.0))
         .otherwise(population * F.sqrt(n * (n - 1)) / nonzero(n - 2)))
     return moments.select(
-        "count", "mean", median.alias("median"), mode.alias("mode"),
+        "count", *[F.lit(v).cast("double").alias(n) for n, v in (("mean", mean), ("median", median), ("mode", mode))],
         F.sqrt(variance).alias("std_dev"), variance.alias("variance"),
         skewness.alias("skewness"), "min", "max")
 
@@ -68,13 +66,22 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         .select("name.row_column", "name.column", "correlation"))
 
 
-def outliers_iqr(df: DataFrame, column: str) -> DataFrame:
-    """ST3: adds ``is_outlier``, strictly beyond 1.5 interquartile ranges; NULL is not one."""
-    bounds = exact_quantiles(df, column, {"q1": 0.25, "q3": 0.75})
-    q1, q3 = bounds.select("q1").scalar(), bounds.select("q3").scalar()
-    x, reach = real(column), 1.5 * (q3 - q1)
-    return df.withColumn(
-        "is_outlier", F.coalesce((x < q1 - reach) | (x > q3 + reach), F.lit(False)))
+def quartiles(df: DataFrame, column: str, accuracy: int = 10_000) -> DataFrame:
+    """ST3's bounds for large data: q1, median and q3 from a sketch and one exact count."""
+    names = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    return one_row(df, dict(zip(names, bracketed_quantiles(df, column, list(names.values()), accuracy))))
+
+
+def outliers_iqr(df: DataFrame, column: str, bracketed: bool = False) -> DataFrame:
+    """ST3: adds ``is_outlier``, strictly beyond 1.5 interquartile ranges; NULL is not one.
+
+    ``bracketed`` finds the quartiles without counting every value; the answer is the same.
+    """
+    if bracketed:
+        fences = fences_of(*bracketed_quantiles(df, column, [0.25, 0.75]))
+    else:
+        fences = ValueCounts(df, column).fences()
+    return df.withColumn("is_outlier", fences.outside(real(column)))
 
 
 def outliers_zscore(df: DataFrame, column: str, threshold: float = 3.0) -> DataFrame:

@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as registered
 from check import compare
+from tallymart import catalog
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = registered.queries(), registered.oracle_sql()
+QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 
 
 def test_entry(spark):
@@ -19,6 +20,11 @@ def test_rows_only_queries_are_the_known_ones():
     assert not set(SQL) - set(QUERIES)
 
 
+def test_every_query_of_the_catalog_is_registered():
+    assert set(QUERIES) <= set(registered.queries()) and set(SQL) <= set(registered.oracle_sql())
+    assert not set(registered.oracle_sql()) - set(registered.queries())
+
+
 PICKED = (
     "q15_spend_rank_in_segment", "q35_profit_concentration", "view1_analytics_view",
     "flt1_dashboard_filter", "ch9_outlier_histogram", "st1_describe_profit",

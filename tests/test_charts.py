@@ -93,3 +93,23 @@ def test_outlier_histogram_and_box(spark):
     assert (box.q1, box.median, box.q3) == (11.25, 12.5, 13.75)
     assert (box.whisker_low, box.whisker_high, box.fliers) == (10.0, 14.0, 1)
     assert rows(charts.box_fliers(df)) == [(500.0, 1)]
+
+
+def test_charts_of_no_values(spark):
+    df = spark.createDataFrame([(None,)], "sales double")
+    assert rows(charts.sales_histogram(df)) == [] and rows(charts.outlier_histogram(df)) == []
+    assert rows(charts.box_plot(df)) == [(None, None, None, None, None, 0)]
+    assert rows(charts.box_fliers(df)) == []
+
+
+def test_plans_on_a_count_table_stay_small(tiny):
+    view = analytics_view(tiny)
+    for df in (charts.outlier_histogram(view), charts.box_plot(view), charts.box_fliers(view)):
+        plan = df._jdf.queryExecution().toString()
+        assert len(plan) < 50_000 and "ScalarSubquery" not in plan
+
+
+def test_given_flags_split_the_histogram(spark):
+    df = spark.createDataFrame([(float(i), i > 7) for i in range(10)], "sales double, is_outlier boolean")
+    got = charts.outlier_histogram(None, df, bins=3)
+    assert rows(got, "kind", "bin", "n") == [("Outlier", 3, 2), ("Typical", 1, 3), ("Typical", 2, 3), ("Typical", 3, 2)]

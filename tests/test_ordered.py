@@ -7,7 +7,8 @@ import pytest
 
 from conftest import rows
 from pyspark.sql import functions as F
-from tallymart.plans.ordered import OrderedBlocks, dense_ids, exact_quantiles
+from tallymart.plans.counts import ValueCounts, bracketed_quantiles, exact_quantiles
+from tallymart.plans.ordered import OrderedBlocks, dense_ids
 
 
 def table(spark, n=500, seed=1):
@@ -92,3 +93,30 @@ def test_quantiles_interpolate_like_numpy(spark, many_blocks, n):
 def test_quantiles_of_nothing_are_null(spark):
     df = spark.createDataFrame([], "v double")
     assert rows(exact_quantiles(df, "v", {"a": 0.5})) == [(None,)]
+
+
+@pytest.mark.parametrize("n,accuracy", [(1, 100), (2, 100), (10, 100), (501, 20), (3000, 50), (3000, 10_000)])
+def test_bracketed_quantiles_are_exact(spark, many_blocks, n, accuracy):
+    """Ties, a hot value with a third of the rows, and nulls."""
+    data, df = table(spark, n)
+    shares = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = bracketed_quantiles(df.withColumn("v", F.when(F.col("id") >= 0, F.col("v") * 1.5)), "v", shares, accuracy)
+    assert got == pytest.approx(list(np.quantile([r[2] * 1.5 for r in data], shares)))
+
+
+def test_bracketed_quantiles_of_distinct_values(spark, many_blocks):
+    values = list(range(0, 20_000, 7))
+    random.Random(4).shuffle(values)
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+    assert bracketed_quantiles(df, "v", [0.25, 0.5, 0.75], 100) == pytest.approx(
+        list(np.quantile(values, [0.25, 0.5, 0.75])))
+    assert bracketed_quantiles(df.where("v IS NULL"), "v", [0.5]) == [None]
+
+
+def test_counts_give_ranks_and_span(spark, many_blocks):
+    data, df = table(spark)
+    counts = ValueCounts(df, "v")
+    ordered = sorted(r[2] for r in data)
+    ranks = [0, 17, 250, 499]
+    assert counts.at_ranks(ranks) == {r: ordered[r] for r in ranks}
+    assert counts.span == (ordered[0], ordered[-1], 500)
