@@ -68,7 +68,7 @@ flat AS (
 
 def flat(query: str, *ctes: str) -> str:
     """A query over ``flat``, after further CTEs."""
-    return "WITH " + ",".join([KEPT, FLAT, *[f"\n{c}" for c in ctes]]) + "\n" + query
+    return "WITH RECURSIVE " + ",".join([KEPT, FLAT, *[f"\n{c}" for c in ctes]]) + "\n" + query
 
 
 def tables(query: str, *ctes: str) -> str:

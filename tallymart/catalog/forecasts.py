@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallymart.catalog.base_sql import flat
 from tallymart.catalog.shared import settle
+from tallymart.catalog.student_sql import quantiles
 from tallymart.plans import forecast as fc
 from tallymart.session import stash
 
@@ -167,13 +168,21 @@ ENTRIES = {
             "category_name", "order_month", "forecast"), 2),
         flat(POINTS.format(g="ahead.g AS category_name,"), BY_CATEGORY, AHEAD,
              _fit("fit", "TRUE"))),
-    # The interval needs a t quantile, which SQL lacks: its spread is checked, the rest in tests.
     "fc9_residual_spread": (
         lambda m: settle(_residual_spread(m), 2), flat("""
         SELECT COUNT(*) AS n, ROUND(stddev_samp(y - b0 - bt * t - bs * s - bc * c), 2) AS spread
         FROM series JOIN fit ON series.g = fit.g""", ALL, _fit("fit", "TRUE"))),
     "fc12_forecast_interval": (
-        lambda m: settle(_forecast(m, "region_name")["forecast"], 2), None),
+        lambda m: settle(_forecast(m, "region_name")["forecast"], 2), flat("""
+        SELECT region_name, order_month, ROUND(forecast, 2) AS forecast,
+               ROUND(forecast - t * spread, 2) AS lower, ROUND(forecast + t * spread, 2) AS upper
+        FROM ahead_points JOIN spreads USING (region_name) JOIN critical ON critical.key = region_name""",
+        _series("region_name"), AHEAD, _fit("fit", "TRUE"), f"""ahead_points AS ({
+            POINTS.format(g="ahead.g AS region_name,").replace("ROUND(", "(").replace(", 2) AS", ") AS")})""",
+        """spreads AS (
+  SELECT series.g AS region_name, series.g AS key, COUNT(*) - 1 AS df,
+         stddev_samp(y - b0 - bt * t - bs * s - bc * c) AS spread
+  FROM series JOIN fit ON series.g = fit.g GROUP BY series.g)""", quantiles("critical", "spreads", 0.975))),
 }
 
 

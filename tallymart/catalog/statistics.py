@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallymart.catalog.base_sql import flat
 from tallymart.catalog.shared import settle
+from tallymart.catalog.student_sql import quantiles, two_sided_p
 from tallymart.plans import stats
 
 COLUMNS = ("sales", "profit", "discount", "quantity", "profit_margin")
@@ -79,9 +80,23 @@ ENTRIES = {
                ROUND(stddev_samp(CAST(sales AS DOUBLE)), 4) AS std_dev,
                ROUND(AVG(CAST(sales AS DOUBLE)), 4) AS centre
         FROM flat GROUP BY segment""")),
-    # The t quantile has no SQL: rows only; tests pin it to published values.
     "st5_confidence_interval": (
-        lambda m: settle(stats.confidence_interval_mean(m.lines("sales"), "sales"), 4), None),
+        lambda m: settle(stats.confidence_interval_mean(m.lines("sales"), "sales"), 4), flat("""
+        SELECT n, ROUND(mean, 4) AS mean, ROUND(sd, 4) AS std_dev, ROUND(mean - t * sd / sqrt(n), 4) AS lower,
+               ROUND(mean + t * sd / sqrt(n), 4) AS upper
+        FROM parts JOIN critical USING (key)""", """parts AS (
+  SELECT 1 AS key, COUNT(sales) AS n, COUNT(sales) - 1 AS df, AVG(CAST(sales AS DOUBLE)) AS mean,
+         stddev_samp(CAST(sales AS DOUBLE)) AS sd FROM flat)""", quantiles("critical", "parts", 0.975))),
+    "st5_interval_by_order_day": (
+        lambda m: settle(stats.confidence_interval_mean(
+            m.lines("order_date", "sales"), "sales", 0.99, ["order_date"]), 2), flat("""
+        SELECT order_date, n, ROUND(mean, 2) AS mean, ROUND(sd, 2) AS std_dev,
+               ROUND(mean - t * sd / sqrt(n), 2) AS lower, ROUND(mean + t * sd / sqrt(n), 2) AS upper
+        FROM parts LEFT JOIN critical ON n - 1 = key""", """parts AS (
+  SELECT order_date, COUNT(sales) AS n, AVG(CAST(sales AS DOUBLE)) AS mean,
+         stddev_samp(CAST(sales AS DOUBLE)) AS sd FROM flat GROUP BY order_date)""", """sizes AS (
+  SELECT DISTINCT n - 1 AS key, n - 1 AS df FROM parts WHERE n > 1)""",
+        quantiles("critical", "sizes", 0.995))),
     "st6_welch_parts": (
         lambda m: settle(_welch(m).select(
             "group_a", "group_b", "n_a", "n_b", "mean_a", "mean_b", "mean_difference",
@@ -94,6 +109,18 @@ ENTRIES = {
                  AS degrees_of_freedom
         FROM moments AS a JOIN moments AS b ON a.g = 'AFRICA' AND b.g = 'AMERICA'""",
         MOMENTS.format(dim="region_name"))),
-    # As above for the p value and the sentence built on it.
-    "st6_welch_ttest": (lambda m: settle(_welch(m), 4), None),
+    "st6_welch_ttest": (lambda m: settle(_welch(m), 4), flat(f"""
+        SELECT group_a, group_b, n_a, n_b, ROUND(mean_a, 4) AS mean_a, ROUND(mean_b, 4) AS mean_b,
+               ROUND(mean_a - mean_b, 4) AS mean_difference, ROUND(t, 4) AS t_statistic,
+               ROUND(df, 4) AS degrees_of_freedom, ROUND(p, 4) AS p_value, p < 0.05 AS significant,
+               'Means ' || printf('%.4f', mean_a) || ' and ' || printf('%.4f', mean_b) ||
+               CASE WHEN p < 0.05 THEN ' differ' ELSE ' are not shown to differ' END ||
+               ' at 95% (p = ' || printf('%.4f', p) || ')' AS interpretation
+        FROM (SELECT *, {two_sided_p("t", "df")} AS p FROM tested) AS judged""",
+        MOMENTS.format(dim="region_name"), """tested AS (
+  SELECT a.g AS group_a, b.g AS group_b, a.n AS n_a, b.n AS n_b, a.m AS mean_a, b.m AS mean_b,
+         (a.m - b.m) / sqrt(a.v / a.n + b.v / b.n) AS t,
+         pow(a.v / a.n + b.v / b.n, 2)
+           / (pow(a.v / a.n, 2) / (a.n - 1) + pow(b.v / b.n, 2) / (b.n - 1)) AS df
+  FROM moments AS a JOIN moments AS b ON a.g = 'AFRICA' AND b.g = 'AMERICA')""")),
 }

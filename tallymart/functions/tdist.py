@@ -1,8 +1,11 @@
 """Student-t distribution for already-aggregated rows.
 
 Spark has no t distribution. These pandas UDFs run on the few rows left after an
-aggregation; inside, the tail probability is a continued fraction of the
-regularised incomplete beta function and the quantile a bisection on it.
+aggregation. Below a hundred degrees of freedom the tail probability is a continued
+fraction of the regularised incomplete beta function. From there on that fraction loses
+digits, for its argument comes ever closer to one, and the density is integrated
+instead, with its constant from the asymptotic series of lgamma(a + 1/2) - lgamma(a).
+The quantile is a bisection on either.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ from __future__ import annotations
 import math
 import sys
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F, types as T
@@ -18,6 +22,10 @@ from pyspark.sql import functions as F, types as T
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _TINY = 1e-300
+#: Degrees of freedom from which the density is integrated.
+_MANY = 100.0
+_PANELS = 40
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(20)
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -50,10 +58,38 @@ def _beta_share(a: float, b: float, x: float) -> float:
     return 1.0 - math.exp(log_front) * _beta_fraction(b, a, 1.0 - x) / b
 
 
+def _log_peak(df: float) -> float:
+    """Logarithm of the density at zero, for many degrees of freedom.
+
+    lgamma(a + 1/2) - lgamma(a) as a series: both are of the size of a log a, so their
+    difference would keep no digit of what matters.
+    """
+    a = df / 2.0
+    rise = (0.5 * math.log(a) - 1 / (8 * a) + 1 / (192 * a ** 3) - 1 / (640 * a ** 5)
+            + 17 / (14336 * a ** 7))
+    return rise - 0.5 * math.log(math.pi * df)
+
+
+def _tail(t: float, df: float) -> float:
+    """P(T > t) for t >= 0 and many degrees of freedom.
+
+    Gauss-Legendre panels, each as wide as the density takes to fall to 1/e beyond t;
+    behind the last one less than 1e-15 of the tail is left.
+    """
+    width = (df + t * t) / ((df + 1) * max(t, 1.0))
+    u = t + width * (np.arange(_PANELS)[:, None] + (_NODES + 1) / 2)
+    fall = (df + 1) / 2 * np.log1p(u / df * u)
+    return float((np.exp(_log_peak(df) - fall) @ _WEIGHTS).sum() * width / 2)
+
+
 def two_sided_p(t: float, df: float) -> float:
     """P(|T| > |t|) with ``df`` degrees of freedom."""
     if math.isnan(t) or math.isnan(df) or df <= 0:
         return math.nan
+    if t == 0 or math.isinf(t):
+        return float(t == 0)
+    if df >= _MANY:
+        return min(1.0, 2.0 * _tail(abs(t), df))
     return _beta_share(df / 2.0, 0.5, df / (df + t * t))
 
 

@@ -131,11 +131,8 @@ def welch_ttest(df: DataFrame, dim: str, a: str, b: str, column: str,
     tested = tested.withColumn(
         "p_value", F.nanvl(t_two_sided_p("t_statistic", "degrees_of_freedom"), F.lit(None)))
     tested = tested.withColumn("significant", F.coalesce(F.col("p_value") < alpha, F.lit(False)))
-    verdict = F.when(F.col("significant"), "statistically significant").otherwise(
-        "not statistically significant")
+    verdict = F.when(F.col("significant"), " differ").otherwise(" are not shown to differ")
     sentence = F.concat(
-        F.lit("The difference between the two group means ("), format_fixed("mean_a", 4),
-        F.lit(" vs. "), format_fixed("mean_b", 4), F.lit(") is "), verdict,
-        F.lit(f" at the {round((1 - alpha) * 100)}% confidence level (p = "),
-        format_fixed("p_value", 4), F.lit(")."))
+        F.lit("Means "), format_fixed("mean_a", 4), F.lit(" and "), format_fixed("mean_b", 4), verdict,
+        F.lit(f" at {round((1 - alpha) * 100)}% (p = "), format_fixed("p_value", 4), F.lit(")"))
     return tested.withColumn("interpretation", sentence)
