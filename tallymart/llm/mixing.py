@@ -8,55 +8,85 @@ one, all deadlines are met and after any number of slots each source is less
 than one block away from its target. The timetable repeats after D slots, so
 only D slots are ever simulated, however many blocks there are.
 
+Weights are exact: a given weight is taken as the decimal number it is written as, and
+D is the sum of the weights in whole units of their last place. Weights that need a
+longer period than ``MOST_SLOTS`` are refused, not rounded.
+
 DataFrame and SQL functions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+#: The longest period that is simulated.
+MOST_SLOTS = 200_000
+_PLACES = 18
+#: Slots simulated between two additions to the timetable.
+_STRIDE = 512
 
-_TIMETABLE = """
+_PICK = """
+array_min(filter(
+  transform(quotas, (q, i) -> if(q > 0 and (now.used[i] * period) div q <= t,
+                                 named_struct('due', ((now.used[i] + 1) * period + q - 1) div q, 'i', i),
+                                 null)),
+  d -> d is not null)).i
+"""
+_TIMETABLE = f"""
 aggregate(
-  sequence(0, size(quotas) * 0 + cast(period as int) - 1),
+  sequence(0L, (period - 1) div {_STRIDE}),
   named_struct('used', transform(quotas, q -> 0L), 'slots', cast(array() as array<int>)),
-  (acc, t) -> transform(array(array_min(filter(
-      transform(quotas, (q, i) -> if((acc.used[i] * period) div q <= t,
-                                     named_struct('due', ((acc.used[i] + 1) * period + q - 1) div q,
-                                                  'i', i),
-                                     null)),
-      d -> d is not null)).i),
-    pick -> named_struct('used', transform(acc.used, (u, i) -> u + if(i = pick, 1L, 0L)),
-                         'slots', concat(acc.slots, array(pick))))[0],
-  acc -> acc.slots)
+  (all, w) -> transform(array(aggregate(
+      sequence(w * {_STRIDE}, least(w * {_STRIDE} + {_STRIDE}, period) - 1),
+      named_struct('used', all.used, 'slots', cast(array() as array<int>)),
+      (now, t) -> transform(array({_PICK}),
+        pick -> named_struct('used', transform(now.used, (u, i) -> u + if(i = pick, 1L, 0L)),
+                             'slots', concat(now.slots, array(pick))))[0])),
+    part -> named_struct('used', part.used, 'slots', concat(all.slots, part.slots)))[0],
+  all -> all.slots)
 """
 
 
-def target_quotas(docs: DataFrame, weights: DataFrame | None = None,
-                  quanta: int = 1000) -> DataFrame:
+def default_quotas(docs: DataFrame, quanta: int = 1000) -> DataFrame:
+    """source and quota if no weights are given: the default mixture, in thousandths.
+
+    By the whole part of the square root of a source's rows, and one thousandth at
+    least. The quotas are the weights, so nothing is rounded after this.
+    """
+    counts = docs.groupBy("source").agg(F.floor(F.sqrt(F.count(F.lit(1)))).cast("double").alias("w"))
+    share = F.floor(F.lit(quanta) * F.col("w") / F.sum("w").over(Window.partitionBy()) + 0.5)
+    return counts.select("source", F.greatest(share, F.lit(1)).alias("quota"))
+
+
+def target_quotas(docs: DataFrame, weights: DataFrame, most_slots: int = MOST_SLOTS) -> DataFrame:
     """source and quota: its slots in one period; the period is the sum of quotas.
 
-    ``weights`` has (source, weight). Without it a source weighs the whole part of
-    the square root of its rows. Every source has at least one slot, so one
-    without a positive weight gets the least share. Shares are rounded to whole slots
-    (MIX_SQL says the same): the real weight is met up to half a slot in a period.
+    ``weights`` has (source, weight), one row a source. A source with a zero, negative,
+    null or no weight has quota 0. Weights are decimals of up to 18 places; what takes
+    more than ``most_slots`` slots to meet exactly raises ValueError (whole numbers, such
+    as 1, 1 and 1 for thirds, need the fewest).
     """
-    counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("_n"))
-    if weights is None:
-        weighed = counts.select("source", F.floor(F.sqrt("_n")).cast("double").alias("_w"))
-    else:
-        given = weights.select(F.col("source").alias("_s"), F.col("weight").cast("double").alias("_w"))
-        weighed = counts.join(given, F.col("source").eqNullSafe(F.col("_s")), "left").select(
-            "source", F.greatest(F.coalesce("_w", F.lit(0.0)), F.lit(0.0)).alias("_w"))
-    total = F.sum("_w").over(Window.partitionBy())
-    share = F.floor(F.lit(quanta) * F.col("_w") / total + 0.5)
-    return weighed.select("source", F.greatest(F.coalesce(share, F.lit(1)), F.lit(1)).alias("quota"))
+    whole = F.col("weight").cast(f"decimal(38,{_PLACES})")
+    given = weights.select(F.col("source").alias("s"), F.col("weight").cast("double").alias("w"), whole.alias("d"))
+    if given.where("w > 0 AND (d IS NULL OR d = 0)").limit(1).count():
+        raise ValueError(f"a weight needs more than {_PLACES} decimal places")
+    digits = F.regexp_replace(F.col("d").cast("string"), "0+$", "")
+    used = given.where("d > 0").agg(
+        F.max(F.char_length(digits) - F.instr(digits, F.lit("."))).alias("places"), F.sum("d").alias("total")).first()
+    places = used["places"] or 0
+    if used["total"] is not None and used["total"] * 10 ** places > most_slots:
+        raise ValueError(f"the weights need {used['total'] * 10 ** places:.0f} slots a period; "
+                         f"{most_slots} are allowed: round them to fewer places")
+    quota = F.greatest(F.coalesce(F.col("d") * F.lit(10 ** places), F.lit(0)), F.lit(0)).cast("long")
+    return docs.select("source").distinct().join(
+        given, F.col("source").eqNullSafe(F.col("s")), "left").select("source", quota.alias("quota"))
 
 
 def timetable(quotas: DataFrame) -> DataFrame:
     """source, quota, period, nth (from 0), phase: the slot of its nth block in a period."""
-    one = quotas.agg(F.array_sort(F.collect_list(F.struct("source", "quota"))).alias("_all")).select(
+    one = quotas.where("quota > 0").agg(F.array_sort(F.collect_list(F.struct("source", "quota"))).alias("_all")).select(
         F.transform("_all", lambda x: x["source"]).alias("sources"),
-        F.transform("_all", lambda x: x["quota"]).alias("quotas"),
+        F.transform("_all", lambda x: x["quota"].cast("long")).alias("quotas"),
         F.aggregate("_all", F.lit(0).cast("long"), lambda a, x: a + x["quota"]).alias("period"))
     slots = one.where("period > 0").select(
         "sources", "quotas", "period", F.posexplode(F.expr(_TIMETABLE)).alias("phase", "_i"))
@@ -67,64 +97,77 @@ def timetable(quotas: DataFrame) -> DataFrame:
         F.col("phase").cast("long").alias("phase"))
 
 
-def _spread(key: Column) -> Column:
-    return F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))
+def _numbered(rows: DataFrame, n_docs: int) -> DataFrame:
+    """``rows`` (own, source, key) with place: its number within its source, from 0.
+
+    Rows are numbered in small hash buckets, whatever the source's size, and bucket
+    offsets come from counts alone.
+    """
+    buckets = max(1, -(-n_docs // 256))
+    bucket = F.floor((F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.lit(buckets)) / F.lit(1 << 32))
+    keyed = rows.withColumn("bucket", bucket.cast("long"))
+    counts = keyed.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "stretch", F.floor(F.col("bucket") / 256))
+    before = Window.unboundedPreceding, -1
+    inner = Window.partitionBy("source", "stretch").orderBy("bucket").rowsBetween(*before)
+    outer = Window.partitionBy("source").orderBy("stretch").rowsBetween(*before)
+    stretches = counts.groupBy("source", "stretch").agg(F.sum("n").alias("m")).select(
+        F.col("source").alias("s"), F.col("stretch").alias("g"),
+        F.coalesce(F.sum("m").over(outer), F.lit(0)).alias("earlier"))
+    offsets = counts.withColumn("inside", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(
+        stretches, F.col("source").eqNullSafe(F.col("s")) & (F.col("stretch") == F.col("g"))).select(
+        F.col("source").alias("s2"), F.col("bucket").alias("b2"),
+        (F.col("earlier") + F.col("inside")).alias("offset"))
+    order = Window.partitionBy("source", "bucket").orderBy("key", "id")
+    return keyed.withColumn("row", F.row_number().over(order) - 1).join(
+        offsets, F.col("source").eqNullSafe(F.col("s2")) & (F.col("bucket") == F.col("b2"))).select(
+        "own", "source", (F.col("offset") + F.col("row")).alias("place"))
 
 
 def mix_sources(docs: DataFrame, weights: DataFrame | None = None, block_docs: int = 16,
-                quanta: int = 1000) -> DataFrame:
+                most_slots: int = MOST_SLOTS) -> DataFrame:
     """All columns of ``docs`` with block, slot, target_weight and mix_order.
 
-    Sorting by mix_order gives the mixture. A source's documents are taken in the
-    order of md5(doc_id). No row is dropped or repeated: a source that runs out
-    leaves its later slots empty, and the others keep their places. A null source
-    is a source of its own; rows with equal doc_id share its place in the order
-    and take neighbouring places in any order; an empty table gives no rows. Own
-    columns of the same four names are replaced.
+    Needs doc_id and source. Sorting by mix_order gives the mixture. A source's
+    documents are taken in the order of md5(doc_id), or md5 of the text where the id is
+    null. No row is dropped or repeated: a source that runs out leaves its later slots
+    empty, and the others keep their places. Sources of weight zero (see
+    ``target_quotas``) come after the mixture, one after the other. A null source is a
+    source of its own; rows with equal doc_id share its place in the order and take
+    neighbouring places in any order; an empty table gives no rows. Own columns of the
+    four added names are replaced; any other name is safe.
     """
     added = ("block", "slot", "target_weight", "mix_order")
-    docs = docs.drop(*added)
-    table_of = timetable(target_quotas(docs, weights, quanta))
-    # Rows of a source are numbered in small hash buckets, whatever the source's size,
-    # and bucket offsets come from counts alone.
-    buckets = max(1, -(-docs.count() // 256))
-    key = _spread(F.col("doc_id"))
-    bucket = ((F.conv(F.substring(key, 1, 8), 16, 10).cast("long") * F.lit(buckets))
-              / F.lit(1 << 32)).cast("long")
-    keyed = docs.withColumns({"_key": key, "_bucket": F.floor(bucket)})
-
-    counts = keyed.groupBy("source", "_bucket").agg(F.count(F.lit(1)).alias("_n")).withColumn(
-        "_group", F.floor(F.col("_bucket") / 256))
-    before = Window.unboundedPreceding, -1
-    inner = Window.partitionBy("source", "_group").orderBy("_bucket").rowsBetween(*before)
-    outer = Window.partitionBy("source").orderBy("_group").rowsBetween(*before)
-    groups = counts.groupBy("source", "_group").agg(F.sum("_n").alias("_m")).select(
-        F.col("source").alias("_s"), F.col("_group").alias("_g"),
-        F.coalesce(F.sum("_m").over(outer), F.lit(0)).alias("_earlier"))
-    offsets = counts.withColumn("_inside", F.coalesce(F.sum("_n").over(inner), F.lit(0))).join(
-        groups, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_group") == F.col("_g"))).select(
-        F.col("source").alias("_s2"), F.col("_bucket").alias("_b2"),
-        (F.col("_earlier") + F.col("_inside")).alias("_offset"))
-
-    place = Window.partitionBy("source", "_bucket").orderBy("_key", "doc_id")
-    numbered = keyed.withColumn("_row", F.row_number().over(place) - 1).join(
-        offsets, F.col("source").eqNullSafe(F.col("_s2")) & (F.col("_bucket") == F.col("_b2"))
-    ).withColumn("_place", F.col("_offset") + F.col("_row"))
-    blocked = numbered.withColumn("block", F.floor(F.col("_place") / block_docs))
-    # One row per slot of a period: at most quanta + number of sources.
-    slots = F.broadcast(table_of.select(
-        F.col("source").alias("_s3"), F.col("quota"), F.col("period"), "nth", "phase"))
-    first = F.broadcast(table_of.where("nth = 0").select(
-        F.col("source").alias("_s4"), F.col("quota").alias("_q")))
-    placed = blocked.join(first, F.col("source").eqNullSafe(F.col("_s4"))).join(
-        slots, F.col("source").eqNullSafe(F.col("_s3"))
-        & (F.col("nth") == F.col("block") % F.col("_q")))
-    slot = F.floor(F.col("block") / F.col("_q")) * F.col("period") + F.col("phase")
-    own = [F.col(f"`{c}`") for c in docs.columns]
+    names = [c for c in docs.columns if c not in added]
+    quotas = default_quotas(docs) if weights is None else target_quotas(docs, weights, most_slots)
+    table_of = timetable(quotas)
+    spare = F.coalesce("text", F.lit("")) if "text" in names else F.lit("")
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), spare).cast("binary"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("own"),
+                       "source", F.col("doc_id").alias("id"), key.alias("key"))
+    blocked = _numbered(rows, docs.count()).withColumn("block", F.floor(F.col("place") / block_docs))
+
+    # One row a source: its quota, and for those of weight zero the slot of their first block.
+    blocks = docs.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / block_docs).alias("blocks"))
+    sized = blocks.join(quotas.select(F.col("source").alias("s"), "quota"), F.col("source").eqNullSafe(F.col("s")))
+    everything = Window.partitionBy()
+    period = F.sum("quota").over(everything)
+    end = F.max(F.when(F.col("quota") > 0, F.ceil(F.col("blocks") / F.col("quota")) * period)).over(everything)
+    unweighted = F.when(F.col("quota") == 0, F.col("blocks"))
+    earlier = Window.orderBy(F.col("source").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    sources = sized.select(
+        F.col("source").alias("s4"), F.col("quota").alias("q"), period.alias("period"),
+        (F.coalesce(end, F.lit(0)) + F.coalesce(F.sum(unweighted).over(earlier), F.lit(0))).alias("tail"))
+    slots = table_of.select(F.col("source").alias("s3"), "nth", "phase")
+    placed = blocked.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("s4"))).join(
+        F.broadcast(slots), F.col("source").eqNullSafe(F.col("s3"))
+        & (F.col("nth") == F.col("block") % F.nullif("q", F.lit(0))), "left")
+    mixed = F.floor(F.col("block") / F.nullif("q", F.lit(0))) * F.col("period") + F.col("phase")
+    slot = F.when(F.col("q") > 0, mixed).otherwise(F.col("tail") + F.col("block"))
     return placed.select(
-        *own, "block", slot.alias("slot"),
-        (F.col("quota") / F.col("period")).alias("target_weight"),
-        (slot * block_docs + F.col("_place") % block_docs).alias("mix_order"))
+        *[F.col("own")[c].alias(c) for c in names], "block", slot.alias("slot"),
+        F.coalesce(F.col("q") / F.nullif("period", F.lit(0)), F.lit(0.0)).alias("target_weight"),
+        (slot * block_docs + F.col("place") % block_docs).alias("mix_order"))
 
 
 MIX_SQL = """
@@ -143,8 +186,7 @@ tick(t, pick, used) AS (
   FROM (
     SELECT t, used, list_min(list_transform(range(1, len(quotas) + 1), lambda i:
              CASE WHEN (used[i] * period) // quotas[i] <= t + 1
-                  THEN (((used[i] + 1) * period + quotas[i] - 1) // quotas[i]) * 100000 + i END))
-           % 100000 AS chosen
+                  THEN {{'due': ((used[i] + 1) * period + quotas[i] - 1) // quotas[i], 'i': i}} END)).i AS chosen
     FROM tick, one WHERE t + 1 < period)),
 timetable AS (
   SELECT sources[pick] AS source, quotas[pick] AS quota, period, t AS phase,
@@ -152,7 +194,7 @@ timetable AS (
   FROM tick, one WHERE t >= 0),
 placed AS (
   SELECT *, row_number() OVER (PARTITION BY source
-           ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id) - 1 AS place FROM {docs}),
+           ORDER BY md5(coalesce(doc_id::VARCHAR, text, '')), doc_id) - 1 AS place FROM {docs}),
 blocked AS (
   SELECT p.*, place // 16 AS block, q.quota AS q
   FROM placed p JOIN quotas q ON p.source IS NOT DISTINCT FROM q.source),
