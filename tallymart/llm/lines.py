@@ -60,14 +60,25 @@ def line_key(line: Column) -> Column:
         F.translate(stripped, UPPER, LOWER))
 
 
+def _held_by(held: DataFrame, min_docs: int) -> DataFrame:
+    """The lines of at least ``min_docs`` different doc_ids, null being one of them.
+
+    Distinct (line, doc_id) come first, spread over all tasks however common a line is;
+    then a line is counted with partial sums.
+    """
+    once = held.select("line", "doc_id").distinct()
+    return once.groupBy("line").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_docs)
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3,
                 batches: int = 4) -> DataFrame:
     """doc_id, n_lines, n_dropped and kept_text of every row.
 
-    A line whose key has ``min_chars`` code points and is found in ``min_docs`` rows
-    stays only in the largest doc_id that has it; batches are taken from the largest
+    A line whose key has ``min_chars`` code points and is found under ``min_docs`` different
+    doc_ids (null counts as one) stays only in the largest doc_id that has it; batches are taken from the largest
     doc_id down, so that the first to admit a line keeps it. A null text is one
-    empty line. Rows with one doc_id count as rows, and stay or lose a line together.
+    empty line. Rows with one doc_id are one document: they count once, and keep or lose a
+    line together.
     A null doc_id sorts below all others. Other columns are not used.
     """
     # A row is known by its doc_id and a hash of its text: rows that share both are the
@@ -84,8 +95,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3,
         ((i == 0) | (F.get("_keys", i - 1)["key"] != x["key"])).alias("first")))).alias("_l")
     ).select("doc_id", "_text", "_l.line", "_l.pos", "_l.first")
     held = stash(held, "lines")
-    common = held.where("first").groupBy("line").agg(F.count(F.lit(1)).alias("_n")).where(
-        F.col("_n") >= min_docs)
+    common = _held_by(held.where("first"), min_docs)
     marks = stash(held.drop("first").join(common.select("line"), "line", "left_semi"), "line-marks")
 
     runs = LineRuns()
@@ -123,9 +133,9 @@ keyed AS (
            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM split),
 common AS (
   SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 20
-  GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+  GROUP BY key HAVING count(DISTINCT doc_id) + max(CAST(doc_id IS NULL AS INTEGER)) >= 3),
 marked AS (
-  SELECT k.*, c.key IS NOT NULL AND k.doc_id <> c.last AS gone
+  SELECT k.*, c.key IS NOT NULL AND k.doc_id IS DISTINCT FROM c.last AS gone
   FROM keyed k LEFT JOIN common c ON k.key = c.key)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), ''))
