@@ -3,7 +3,7 @@
 At the first level every window of a few words is a candidate; those that occur more
 than once are extended to twice the length, and so on up to the wanted length. Only
 a window both of whose halves are repeated is looked at again, so each level has
-fewer candidates, and a level without any ends the work. Keys are 48 bits below the
+fewer candidates; a unit without any sends nothing. Keys are 48 bits below the
 last level (an agreement by chance only keeps a candidate for longer) and 128 bits at
 the last one, where the smallest doc_id of every window decides.
 """
@@ -37,11 +37,33 @@ def level_lengths(window: int, first: int = FIRST) -> list[int]:
     return lengths
 
 
+def _power(times: np.uint64, n: int) -> np.uint64:
+    return np.uint64(pow(int(times), n, 1 << 64))
+
+
+def _ahead(values: np.ndarray, n: int) -> np.ndarray:
+    """values[i + n]; zeros past the end, where no window stands."""
+    out = np.zeros_like(values)
+    if n < len(values):
+        out[:len(values) - n] = values[n:]
+    return out
+
+
 def window_keys(words: np.ndarray, at: np.ndarray, length: int, times: np.uint64) -> np.ndarray:
-    total = np.zeros(len(at), np.uint64)
-    for k in range(length):
-        total = total * times + words[at + k]
-    return mix(total)
+    """Hashes of the windows of ``length`` words at the given places.
+
+    A polynomial in ``times``, built for all places at once from windows of 1, 2, 4, ...
+    words: some six passes over the words instead of one for each word of a window.
+    """
+    total, have, part, width = None, 0, words, 1
+    while width <= length:
+        if length & width:
+            total = part if total is None else part * _power(times, have) + _ahead(total, width)
+            have += width
+        if 2 * width <= length:
+            part = part * _power(times, width) + _ahead(part, width)
+        width *= 2
+    return mix(total[at])
 
 
 def _candidates(words: np.ndarray, ends: np.ndarray, lengths: list[int], told: pa.Table):
