@@ -3,13 +3,14 @@
 Operators over every word or byte of the corpus would drown in one row a position.
 Here documents lie in units of some megabytes (one bucketed table, written once, so
 that no later step shuffles a text again). A unit sends each of its *different* keys
-once, packed by key range; a task per key range merges what all units sent and
+once, packed by key range; a group per key range merges what all units sent and
 answers every unit in the order it asked. However often a key occurs, a unit sends
 it once, so a hot key costs no more than one entry a unit.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
@@ -20,14 +21,26 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallymart.session import new_scratch_path, stash
 
+#: The least size of a unit and of what one key range answers for.
 UNIT_BYTES = 8_000_000
-RANGE_BYTES = 8_000_000
+#: Text behind one message, a unit's keys of one range. Units and ranges of s bytes each
+#: make (size / s) ** 2 messages, so s is the root of size times this: messages then grow
+#: in proportion to the text, and units with its root (8 MB up to 10 GB, 100 MB at 2 TB,
+#: 700 MB at 100 TB, which executors of that size hold).
+MESSAGE_BYTES = 5_000
+#: Text of one bucket of the unit table, which one task reads.
+BUCKET_BYTES = 128_000_000
 #: unit, which question, key range, and packed columns.
 MESSAGE = "unit long, step int, range long, a binary, b binary, c binary"
 _MESSAGE = pa.schema([("unit", pa.int64()), ("step", pa.int32()), ("range", pa.int64()),
                       ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 
 
+def unit_size(size: int, least: int = UNIT_BYTES) -> int:
+    """Bytes of a unit, and of a key range, for so many bytes of text."""
+    return max(least, math.isqrt(size * MESSAGE_BYTES))
+
+
 class Units:
     """A document table dealt into units row by row.
 
@@ -40,9 +53,10 @@ class Units:
         spark = docs.sparkSession
         texts = self.columns(docs)
         size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        self.count = max(64, -(-size // unit_bytes))
-        self.ranges = max(64, -(-size // RANGE_BYTES))
-        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.count = max(64, -(-size // unit_size(size, unit_bytes)))
+        self.ranges = max(64, -(-size // unit_size(size)))
+        shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        partitions = min(self.count, max(shuffled, -(-size // BUCKET_BYTES)))
         name = f"text_units_{uuid.uuid4().hex}"
         texts.withColumn("unit", self.unit_of()).repartition(partitions, "unit").write.option(
             "path", new_scratch_path(spark, "units")).option("compression", "zstd").bucketBy(
