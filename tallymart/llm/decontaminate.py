@@ -13,19 +13,21 @@ checked by the exact share of the item's shingles that the whole document contai
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallymart.llm.common import LOWER, UPPER, mix, runs_between, text_rows, whole_texts
+from tallymart.llm.common import LOWER, UPPER, digest, mix, runs_between, stash, text_rows, whole_texts
 
 HASHES = 64
 SHINGLE = 5
 CONTAINMENT = 0.8
 #: Items looked for in one pass over the documents; their hashes take about 20 MB.
 ITEMS_A_PASS = 20_000
+BYTES_A_PASS = 20_000_000
 _EXACT = 8  # items of up to so many shingles are looked up exactly
 _SMALLEST = 16  # the first partition has items of up to so many shingles; each next twice as many
 
@@ -195,28 +197,20 @@ def _search(index: ItemIndex):
                                         for i in range(len(words[k]) - size + 1)}}
                 shared = len(wanted & sets[k, size])
                 if shared + 1e-9 >= index.containment * len(wanted):
-                    rows.append((ids[k], item, shared, len(wanted)))
+                    rows.append((ids[k], item, shared, len(wanted), hashlib.md5(texts[k]).digest()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], pa.int64()) for i in range(4)],
-                ["doc_id", "item_id", "n_shared", "n_shingles"])
+                [*(pa.array([r[i] for r in rows], pa.int64()) for i in range(4)),
+                 pa.array([r[4] for r in rows], pa.binary())],
+                ["doc_id", "item_id", "n_shared", "n_shingles", "digest"])
     return search
 
 
-def contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT,
-                 items_a_pass: int = ITEMS_A_PASS) -> DataFrame:
-    """doc_id, item_id, n_shared, n_shingles, containment of every leaked item.
-
-    A row says that the whole text of doc_id has at least ``containment`` of the item's
-    distinct word shingles. ASCII case and punctuation do not count. An item without a
-    word (or a null text) leaks nowhere; one of under five words has them as its only
-    shingle. Items of equal id are looked up separately and give rows of their own. Items
-    are sent to the tasks ``items_a_pass`` at a time: the size that a pass holds is
-    bounded, and more items mean more passes over the documents. Equal documents give
-    equal rows; other columns are not used.
-    """
+def _leaks(docs: DataFrame, items: DataFrame, containment: float, items_a_pass: int) -> DataFrame:
+    """What ``contaminated`` gives, with the MD5 of each text."""
     texts = whole_texts(docs)
     known = items.where("text IS NOT NULL").select("item_id", "text")
-    passes = max(1, -(-known.count() // items_a_pass))
+    n_items, n_bytes = known.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    passes = max(1, -(-n_items // items_a_pass), -(-(n_bytes or 0) // BYTES_A_PASS))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(passes))
     found = None
     for k in range(passes):
@@ -226,14 +220,44 @@ def contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAIN
         names = docs.sparkSession.createDataFrame(
             [(n, i) for n, (i, _) in byid.items()], "_n long, _item long")
         hits = texts.mapInArrow(
-            _search(index), "doc_id long, item_id long, n_shared long, n_shingles long")
+            _search(index), "doc_id long, item_id long, n_shared long, n_shingles long, digest binary")
         rows = hits.join(F.broadcast(names), hits["item_id"] == names["_n"]).select(
             "doc_id", F.col("_item").alias("item_id"), "n_shared", "n_shingles",
-            (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
+            (F.col("n_shared") / F.col("n_shingles")).alias("containment"), "digest")
+        if passes > 1:  # written before the next pass's items are fetched
+            rows = stash(rows, "leaks")
         found = rows if found is None else found.unionByName(rows)
     return found
 
 
+def contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT,
+                 items_a_pass: int = ITEMS_A_PASS) -> DataFrame:
+    """doc_id, item_id, n_shared, n_shingles, containment of every leaked item.
+
+    A row says that the whole text of doc_id has at least ``containment`` of the item's
+    distinct word shingles. ASCII case and punctuation do not count. An item without a
+    word (or a null text) leaks nowhere; one of under five words has them as its only
+    shingle. Items of equal id are looked up separately and give rows of their own. Items
+    are sent to the tasks ``items_a_pass`` or about ``BYTES_A_PASS`` at a time: what a pass
+    holds is bounded, and more items mean more passes over the documents. A null or empty
+    document holds no item; equal documents give equal rows, null doc_ids theirs. Empty
+    tables give no rows; other columns are not used.
+    """
+    return _leaks(docs, items, containment, items_a_pass).drop("digest")
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no item.
+
+    A row goes for its own text: one without an id too, and a clean row that shares its
+    doc_id with a leaked one stays.
+    """
+    leaks = _leaks(docs, items, containment, ITEMS_A_PASS).select(
+        F.col("doc_id").alias("l_id"), F.col("digest").alias("l_text")).distinct()
+    text = digest(F.coalesce("text", F.lit("")))
+    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("l_id")) & (text == F.col("l_text")), "left_anti")
+
+
 LEAK_SQL = r"""
 WITH words AS (
   SELECT 'd' AS kind, doc_id AS id, translate(coalesce(text, ''), {fold}) AS t FROM documents

@@ -134,7 +134,7 @@ def training_sample(docs: DataFrame, rows_per_lang: int = 400) -> DataFrame:
     # Twice the wanted number by a share of the hash, then the exact first ones of few rows.
     sizes = F.broadcast(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")))
     near = labelled.join(sizes, "lang").where(share < 2.0 * rows_per_lang / F.col("_n"))
-    first = Window.partitionBy("lang").orderBy(order, "doc_id")
+    first = Window.partitionBy("lang").orderBy(order, "doc_id", F.xxhash64("text"), "text")
     return near.withColumn("_r", F.row_number().over(first)).where(
         F.col("_r") <= rows_per_lang).select("lang", "text", F.col("_r").alias("place"))
 

@@ -11,6 +11,7 @@ groups look like. Links of one pair of nodes come back as a spanning forest.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tallymart.llm.common import text_rows, whole_texts
+from tallymart.llm.common import digest, text_rows, whole_texts
 from tallymart.llm.components import components
 from tallymart.session import stash
 
@@ -50,8 +51,8 @@ def fingerprints_of(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and fp, the fingerprint's 64 bits as a long, of every row.
+def fingerprints(docs: DataFrame, shingle: int = 3, digests: bool = False) -> DataFrame:
+    """doc_id and fp, the fingerprint's 64 bits as a long, of every row; digest (MD5 of the text) if asked.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; a text of fewer
     words than a shingle is one shingle, one without words (or null) gets zero.
@@ -62,10 +63,13 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             found = [fingerprint_words(t.lower().split(), shingle) for t in texts]
             ends = np.cumsum([len(f) for f in found])
             prints = fingerprints_of(np.concatenate(found), ends)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            columns = [pa.array(ids, pa.int64()), pa.array(prints.view(np.int64))]
+            if digests:
+                columns.append(pa.array([hashlib.md5(t).digest() for t in texts], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return whole_texts(docs).mapInArrow(compute, "doc_id long, fp long")
+    names = ["doc_id", "fp", "digest"][:3 if digests else 2]
+    return whole_texts(docs).mapInArrow(compute, "doc_id long, fp long" + ", digest binary" * digests)
 
 
 def _walk(a: np.ndarray, b: np.ndarray, depth: int, cost: int, budget: int,
@@ -208,20 +212,54 @@ def _children(pairs: DataFrame, level: DataFrame, budget: int) -> DataFrame:
     return grown.where((F.col("cost") <= budget) & (F.col("x") <= F.col("y")))
 
 
-def near_groups(docs: DataFrame, budget: int = 2, shingle: int = 3) -> DataFrame:
-    """doc_id, fp and component_id of every row.
-
-    component_id is the smallest doc_id that a chain of fingerprints, each within
-    ``budget`` bits of the next, leads to. Equal fingerprints are one node, so copies
-    cost nothing; null ids are never the smallest unless a group has no other. An empty
-    table gives no rows.
-    """
-    prints = stash(fingerprints(docs, shingle), "fingerprints")
+def _labelled(docs: DataFrame, budget: int, shingle: int, digests: bool) -> DataFrame:
+    """Fingerprints with root, a fingerprint that stands for the group, and component_id."""
+    prints = stash(fingerprints(docs, shingle, digests), "fingerprints")
     nodes = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprint-nodes")
     roots = components(trie_links(nodes.select("fp"), budget))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = stash(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"),
+    labels = stash(rooted.select("fp", "root").join(least, "root").select("fp", "root", "component_id"),
                    "fingerprint-groups")
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(labels, "fp")
+
+
+def near_groups(docs: DataFrame, budget: int = 2, shingle: int = 3) -> DataFrame:
+    """doc_id, fp and component_id of every row.
+
+    component_id is the smallest doc_id that a chain of fingerprints, each within
+    ``budget`` bits of the next, leads to. Equal fingerprints are one node, so copies
+    cost nothing; null ids are never the smallest unless a group has no other, and null
+    and empty texts have fingerprint zero, linked like any other. An empty table gives no
+    rows. Other columns are not used.
+    """
+    return _labelled(docs, budget, shingle, False).select("doc_id", "fp", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, budget: int = 2, shingle: int = 3) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay if one document of each group does.
+
+    That is the document of the smallest doc_id. Rows of one doc_id and group are one
+    document and stay or go together; a row that shares its id with a document of another
+    group is judged on its own. A group without any id keeps one row, that of the
+    smallest MD5 of its text.
+    """
+    found = _labelled(docs, budget, shingle, True)
+    least = found.where("component_id IS NULL").groupBy("root").agg(F.min("digest").alias("least"))
+    known = found.join(least, "root", "left")
+    gone = known.where(
+        F.when(F.col("component_id").isNull(), F.col("digest") != F.col("least"))
+        .otherwise(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    gone = stash(gone.select(F.col("doc_id").alias("g_id"), F.col("digest").alias("g_text")).distinct(),
+                 "near-copies")
+    text = digest(F.coalesce("text", F.lit("")))
+    same = F.col("doc_id").eqNullSafe(F.col("g_id")) & (text == F.col("g_text"))
+    kept = docs.join(gone, same, "left_anti")
+    # Rows without an id that are left have one text a group, in as many copies as there are.
+    nameless = kept.where("doc_id IS NULL")
+    one = nameless.withColumn(_TEXT, digest(F.coalesce("text", F.lit("")))).dropDuplicates([_TEXT]).drop(_TEXT)
+    return kept.where("doc_id IS NOT NULL").unionByName(one)
+
+
+_TEXT = "_md5_of_the_text_of_a_nameless_row"

@@ -38,22 +38,61 @@ def near_groups(docs: list[tuple]) -> dict:
     return {i: (f"{f:016x}", find(i)) for i, f in prints}
 
 
-def jaccard_groups(docs: list[tuple], least: float = 0.8) -> list:
-    """The smallest id of each row's group, by all pairs of five-word shingle sets."""
-    sets = []
-    for _, text in docs:
-        found = [w.lower() for w in words(text)]
-        sets.append({tuple(found[i:i + 5]) for i in range(max(1, len(found) - 4))} if found else set())
+def language_model(docs: list[tuple], targets: set, smoothing: float = 0.1) -> list[tuple]:
+    """(n_words, target_loss, background_loss) of each row, by dictionaries of bigrams."""
+    import math
+    from collections import Counter
+
+    split = [["<s>", *words(t)] for _, t in docs]
+    vocabulary = {w for row in split for w in row[1:]}
+
+    def model(rows):
+        pairs = Counter(p for row in rows for p in zip(row, row[1:]))
+        firsts = Counter(w for row in rows for w in row[:-1])
+        return lambda v, w: -math.log((pairs[v, w] + smoothing) / (firsts[v] + smoothing * len(vocabulary)))
+    losses = (model([r for (i, _), r in zip(docs, split) if i is not None and i in targets]), model(split))
+    return [(len(row) - 1, *((sum(loss(*p) for p in zip(row, row[1:])) / (len(row) - 1)) if row[1:] else None
+                             for loss in losses)) for row in split]
+
+
+def line_dedup(docs: list[tuple], least_chars: int = 20, least_docs: int = 3) -> list[tuple]:
+    """(n_lines, n_dropped, kept text) of each row; None sorts below all doc_ids."""
+    def key(line):
+        return lower_ascii(line.strip(" \t\n\x0b\x0c\r"))
+    holders: dict = {}
+    for i, text in docs:
+        for line in (text or "").split("\n"):
+            holders.setdefault(key(line), set()).add(i)
+    out = []
+    for i, text in docs:
+        lines = (text or "").split("\n")
+        kept = []
+        for line in lines:
+            held = holders[key(line)]
+            if len(key(line)) < least_chars or len(held) < least_docs or i == max(
+                    held, key=lambda x: (x is not None, x or 0)):
+                kept.append(line)
+        out.append((len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return out
+
+
+def kept_of_groups(docs: list[tuple]) -> list[tuple]:
+    """Rows that stay if one document of each group of near copies does."""
+    prints = [fingerprint(t) for _, t in docs]
     group = list(range(len(docs)))
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets[:i]):
-            if group[i] != group[j] and (a == b or len(a & b) >= least * len(a | b) > 0):
+    for i, a in enumerate(prints):
+        for j, b in enumerate(prints[:i]):
+            if group[i] != group[j] and (a ^ b).bit_count() <= 2:
                 group = [group[j] if g == group[i] else g for g in group]
-    least_id = {}
-    for (doc_id, _), g in zip(docs, group):
-        if doc_id is not None:
-            least_id[g] = min(doc_id, least_id.get(g, doc_id))
-    return [least_id.get(g) for g in group]
+    out = []
+    for g in dict.fromkeys(group):
+        rows = [row for row, h in zip(docs, group) if h == g]
+        ids = [i for i, _ in rows if i is not None]
+        if ids:
+            out += [row for row in rows if row[0] == min(ids)]
+        else:
+            out.append(min(rows, key=lambda row: hashlib.md5((row[1] or "").encode()).digest()))
+    return out
 
 
 def window_dedup(docs: list[tuple], parts_of, width: int, join) -> dict:

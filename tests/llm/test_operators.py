@@ -66,8 +66,8 @@ def test_mixture_stays_within_a_block_and_keeps_all_rows(spark, docs, odd, empty
     assert len({r["mix_order"] for r in mixed}) == len(mixed)
     assert mixing.mix_sources(empty).count() == 0
     given = spark.createDataFrame([("a", 3.0), ("b", 1.0)], "source string, weight double")
-    got = {r["source"]: r["quota"] for r in mixing.target_quotas(docs, given, 100).collect()}
-    assert got == {"a": 75, "b": 25, "c": 1, None: 1}
+    got = {r["source"]: r["quota"] for r in mixing.target_quotas(docs, given).collect()}
+    assert got == {"a": 3, "b": 1, "c": 0, None: 0}
 
 
 def test_scores_prefer_the_target(spark, docs, odd, empty):
