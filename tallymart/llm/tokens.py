@@ -11,9 +11,10 @@ starts among all ids.
 
 from __future__ import annotations
 
-import gc
 import os
 import re
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +27,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tallymart.llm.common import runs_between, small_batches
 
 SEGMENT_IDS = 250_000
+#: Text that a task encodes at a time; each different word in it is looked up once.
+PIECE_BYTES = 6_000_000
 _SAMPLE = 64
+_KEPT = "_kept_between_tasks_of_a_worker"  # name of a module that is no file
 
 
 class EliasFano:
@@ -85,12 +89,13 @@ _BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
 
 
 class WordwiseEncoder:
-    """Ids of a byte-level tokenizer, each different word encoded once.
+    """Ids of a byte-level tokenizer, each different word encoded once a piece.
 
     The split pattern of such tokenizers never joins the two sides of a space that
     stands between two other characters, so a text can be cut before each such
     space. Words not seen before are encoded together, and their ids told apart by
-    the tokens that start with the space. At most about ``most_words`` are remembered.
+    the tokens that start with the space. The first ``most_words`` words, which the
+    frequent ones are among, are remembered; what comes later is encoded in each piece.
     """
 
     def __init__(self, path: str, most_words: int = 300_000):
@@ -104,21 +109,27 @@ class WordwiseEncoder:
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.forget()
-
-    def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.ids = np.zeros(1 << 20, np.uint32)
-        self.used = 0
-        self.begin = np.zeros(1 << 18, np.int64)
-        self.length = np.zeros(1 << 18, np.int32)
+        self.ids = np.zeros(0, np.uint32)
+        self.length = np.zeros(0, np.int64)
+
+    @classmethod
+    def of_worker(cls, path: str) -> WordwiseEncoder:
+        """The encoder that earlier tasks of this worker process have filled, or a new one."""
+        kept = sys.modules.setdefault(_KEPT, types.ModuleType(_KEPT)).__dict__
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, np.uint32) for e in found]
 
-    def _learn(self, words: list[str]) -> None:
-        """Store the ids of new words; one with a space inside is encoded on its own."""
+    def _encode_words(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The words in another order, all their ids, and how many each has.
+
+        A word with a space inside is encoded on its own.
+        """
         plain = [w for w in words if " " not in w]
         odd = [w for w in words if " " in w]
         parts = [" " + " ".join(plain[i:i + 500]) for i in range(0, len(plain), 500)]
@@ -130,17 +141,27 @@ class WordwiseEncoder:
         ids = np.concatenate([joined, *found[len(parts):]])
         length = np.append(np.diff(np.append(opening, len(joined))),
                            [len(x) for x in found[len(parts):]]).astype(np.int64)
-        seen = len(self.number)
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while seen + len(words) > len(self.begin):
-            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-            self.length = np.concatenate([self.length, np.zeros_like(self.length)])
-        self.ids[self.used:self.used + len(ids)] = ids
-        self.begin[seen:seen + len(words)] = self.used + np.cumsum(length) - length
-        self.length[seen:seen + len(words)] = length
-        self.used += len(ids)
-        self.number.update(zip(plain + odd, range(seen, seen + len(words))))
+        return plain + odd, ids, length
+
+    def _numbered(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A number for each word, and by number the ids (one after the other) and their counts."""
+        known = self.number
+        at = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
+        fresh = np.flatnonzero(at < 0)
+        all_ids, all_lengths = [self.ids], [self.length]
+        seen = len(self.length)
+        for i in range(0, len(fresh), 20_000):
+            some = [words[k] for k in fresh[i:i + 20_000]]
+            order, ids, length = self._encode_words(some)
+            number = dict(zip(order, range(seen, seen + len(order))))
+            at[fresh[i:i + 20_000]] = [number[w] for w in some]
+            seen += len(order)
+            all_ids.append(ids)
+            all_lengths.append(length)
+            if len(known) < self.most_words and seen == len(known) + len(order):
+                known.update(number)
+                self.ids, self.length = np.concatenate([self.ids, ids]), np.concatenate([self.length, length])
+        return at, np.concatenate(all_ids), np.concatenate(all_lengths)
 
     def _cut(self, texts: pa.Array) -> pa.ListArray:
         words = pc.split_pattern(texts, " ")
@@ -156,26 +177,20 @@ class WordwiseEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text's ids end."""
-        if len(self.number) > self.most_words:
-            self.forget()
         cut = self._cut(texts)
         first = cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
         coded = cut.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        fresh = [w for w in words if w not in self.number]
-        for i in range(0, len(fresh), 20_000):
-            self._learn(fresh[i:i + 20_000])
-        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))[
-            coded.indices.to_numpy()]
-        # The first word of a text has no space before it: its ids are put in front.
-        heads = self._whole([words[i] for i in coded.indices.to_numpy()[first]])
-        length = self.length[at].astype(np.int64)
+        words, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        # The first word of a text has no space before it: its ids come from a second list.
+        heads = self._whole([words[i] for i in which[first]])
+        at, ids, lengths = self._numbered(words)
+        begins = np.cumsum(lengths) - lengths
+        length, begin = lengths[at][which], begins[at][which]
         length[first] = [len(h) for h in heads]
+        begin[first] = len(ids) + np.cumsum(length[first]) - length[first]
         ends = np.cumsum(length)
-        begin = self.begin[at]
-        begin[first] = self.used + np.cumsum(length[first]) - length[first]
-        every = np.concatenate([self.ids[:self.used], *heads])
-        return every[runs_between(begin, length)], ends[np.append(first[1:], len(at)) - 1]
+        every = np.concatenate([ids, *heads])
+        return every[runs_between(begin, length)], ends[np.append(first[1:], len(which)) - 1]
 
 
 _FIELDS = pa.schema([
@@ -187,44 +202,60 @@ _SCHEMA = ("part long, seq long, n_docs long, n_ids long, width int, ids binary,
 _NO_ID = np.iinfo(np.int64).min  # stands for a null doc_id
 
 
-def _segment(part: int, seq: int, ids: list, docs: list[np.ndarray], width: int) -> pa.RecordBatch:
-    ends = np.cumsum([len(d) for d in docs])
+def _segment(part: int, seq: int, doc_ids: np.ndarray, ids: np.ndarray, sizes: np.ndarray,
+             width: int) -> pa.RecordBatch:
+    ends = np.cumsum(sizes)
     code = EliasFano.encode(ends)
-    numbers = np.array([_NO_ID if i is None else i for i in ids], "<i8")
-    row = (part, seq, len(docs), int(ends[-1]), width,
-           np.concatenate(docs).astype(f"<u{width}").tobytes(), numbers.tobytes(),
-           code.width, code.low, code.high, code.samples)
+    row = (part, seq, len(sizes), int(ends[-1]), width, ids.astype(f"<u{width}").tobytes(),
+           doc_ids.astype("<i8").tobytes(), code.width, code.low, code.high, code.samples)
     return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _FIELDS)],
                                       schema=_FIELDS)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """The batches cut or joined to pieces of about ``most`` bytes of text, one text at least."""
+    held, size = [], 0
+    for batch in small_batches(batches, most):
+        held.append(batch)
+        size += pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+        if size >= most:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
                  order_by: str = "doc_id", segment_ids: int = SEGMENT_IDS) -> None:
     """Encode every text, append ``end_id``, and write the documents in ``order_by`` order.
 
-    A null text is empty. Nulls in ``order_by`` come first, ties in any order that is
-    the same for ids and boundaries. An empty table writes empty tables. Other columns
-    are not written. ``tokenizer`` is a file that every executor can read.
+    A null text is empty, a very long one is encoded whole. Nulls in ``order_by`` come
+    first, ties in any order that is the same for ids and boundaries; repeated rows are
+    documents of their own. An empty table writes empty tables. Other columns are not
+    written, and may have any name. ``tokenizer`` is a file that every executor can read.
     """
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordwiseEncoder(tokenizer)  # a worker holds the words of one task at a time
+        encoder = WordwiseEncoder.of_worker(tokenizer)
         width = 2 if max(len(encoder.opens) - 1, end_id) < 1 << 16 else 4
-        part, seq, held, numbers, rows = TaskContext.get().partitionId(), 0, 0, [], []
-        for piece in small_batches(batches, 1_000_000):
-            ids, ends = encoder.encode(piece.column("text"))
+        part, seq, held = TaskContext.get().partitionId(), 0, []
+        for piece in _pieces(batches, PIECE_BYTES):
+            ids, ends = encoder.encode(piece.column("text").chunk(0))
+            numbers = piece.column("doc_id").fill_null(_NO_ID).to_numpy()
+            held.append((numbers, np.insert(ids, ends, end_id).astype(f"u{width}"),
+                         np.diff(ends, prepend=0) + 1))
+            del ids, ends, piece
             pa.default_memory_pool().release_unused()
-            docs_of = piece.column("doc_id").to_pylist()
-            for doc_id, a, b in zip(docs_of, np.append(0, ends[:-1]), ends):
-                numbers.append(doc_id)
-                rows.append(np.append(ids[a:b], np.uint32(end_id)))
-                held += len(rows[-1])
-                if held >= segment_ids:
-                    yield _segment(part, seq, numbers, rows, width)
-                    seq, held, numbers, rows = seq + 1, 0, [], []
-        if rows:
-            yield _segment(part, seq, numbers, rows, width)
-        del encoder, rows
-        gc.collect()
+            numbers, ids, sizes = (np.concatenate(c) for c in zip(*held))
+            reached = np.append(0, np.cumsum(sizes))
+            start = 0
+            while reached[-1] - reached[start] >= segment_ids:
+                stop = int(np.searchsorted(reached, reached[start] + segment_ids))
+                yield _segment(part, seq, numbers[start:stop], ids[reached[start]:reached[stop]],
+                               sizes[start:stop], width)
+                start, seq = stop, seq + 1
+            held = [(numbers[start:], ids[reached[start]:], sizes[start:])]
+        if held and len(held[0][2]):
+            yield _segment(part, seq, *held[0], width)
 
     order = F.col(order_by)
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), order.alias("_order"))
@@ -253,7 +284,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             code = EliasFano(row["n_docs"], row["low_bits"], row["low"], row["high"], row["samples"])
-            ends = code.values()
+            ends = np.fromiter(map(code.select, range(code.n)), np.int64, code.n)
             starts = np.append(0, ends[:-1])
             ids = np.frombuffer(row["ids"], f"<u{row['width']}").astype("<u4")
             sums = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, ends)]
