@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,8 +50,13 @@ def _ahead(values: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([values[n:], np.repeat(values[-1:], min(n, len(values)))])
 
 
+_BYTE_HASHES = mix(np.arange(256, dtype=np.uint64) + np.uint64(1))
+#: Bytes hashed at a time: arrays of this length stay in a processor's cache.
+_STRIP = 1 << 16
+
+
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    eight = mix(data.astype(np.uint64) + np.uint64(1))
+    eight = _BYTE_HASHES[data]
     for n in (1, 2, 4):
         eight = eight * _power(n) + _ahead(eight, n)
     sixteen = eight * _power(8) + _ahead(eight, 8)
@@ -65,12 +71,22 @@ def _slide(values: np.ndarray, n: int, least) -> np.ndarray:
     return least(values, _ahead(values, n - width)) if n > width else values
 
 
+def _strips(n: int) -> Iterator[tuple[slice, slice]]:
+    """Strips of 0..n with room around them for all that a place looks at, and their core inside."""
+    for a in range(0, n, _STRIP):
+        low, high = max(0, a - _WINDOW), min(n, a + _STRIP + _GRAM + 2 * _WINDOW)
+        yield slice(low, high), slice(a - low, min(a + _STRIP, n) - low)
+
+
 def _anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Gram hashes, the least one of the string from each place, and which grams are least of one."""
-    h = _gram_hashes(data)
-    least = _slide(h, _WINDOW, np.minimum)
-    most = _slide(least[::-1], _WINDOW, np.maximum)[::-1]
-    return h, least, h <= most
+    parts = []
+    for around, core in _strips(len(data)):
+        h = _gram_hashes(data[around])
+        least = _slide(h, _WINDOW, np.minimum)
+        most = _slide(least[::-1], _WINDOW, np.maximum)[::-1]
+        parts.append((h[core], least[core], (h <= most)[core]))
+    return tuple(np.concatenate(c) for c in zip(*parts))
 
 
 def _sorted_rows(docs: pa.Table) -> tuple[list, list[bytes]]:
@@ -118,7 +134,8 @@ def _stretches(docs: pa.Table, told: pa.Table) -> pa.Table:
         repeated = np.frombuffer(answer(told, 0), np.uint8)[:len(different)].astype(bool)
         kept = np.full(len(h), np.iinfo(np.uint64).max)
         kept[at[repeated[which]]] = h[at[repeated[which]]]
-        maybe = _slide(kept, _WINDOW, np.minimum) == least
+        maybe = np.concatenate([_slide(kept[around], _WINDOW, np.minimum)[core] == least[around][core]
+                                for around, core in _strips(len(kept))])
         unit, begin = docs.column("unit")[0].as_py(), 0
         for row, (doc_id, text) in enumerate(zip(ids, texts)):
             starts = np.flatnonzero(maybe[begin:begin + max(0, len(text) - LENGTH + 1)])
@@ -199,19 +216,27 @@ class _Stretches:
         place = np.arange(self.n + 64)
         self.sample = place[place % 3 != 0]
 
+    def _eight(self) -> np.ndarray:
+        """The eight bytes from each sample position as one number, the first byte on top."""
+        eight = self.data.astype(np.uint64)
+        for n in (1, 2, 4):
+            eight = (eight << np.uint64(8 * n)) | _ahead(eight, n)
+        return eight[self.sample]
+
     def nine(self) -> tuple[list[np.ndarray], np.ndarray]:
         """The different nine bytes from sample positions (three triples, in two numbers), and which each has."""
-        high = np.zeros(len(self.sample), np.uint64)
-        for k in range(8):
-            high = (high << np.uint64(8)) | self.data[self.sample + k]
-        columns = [high, self.data[self.sample + 8].astype(np.uint64)]
         used = np.bincount(self.data, minlength=256) > 0
         bits = int(used.sum() - 1).bit_length()
+        columns = [self._eight(), self.data[self.sample + 8].astype(np.uint64)]
         if 9 * bits > 64:
             first, which = _distinct(columns)
         else:  # few different bytes: all nine in one number
-            letters = (np.cumsum(used) - 1).astype(np.uint8)[self.data]
-            first, which = _distinct([letters[self.sample + k] for k in range(9)], [bits] * 9)
+            one = (np.cumsum(used) - 1).astype(np.uint64)[self.data]
+            nine = one
+            for n in (1, 2, 4):
+                nine = (nine << np.uint64(bits * n)) | _ahead(nine, n)
+            nine = (nine << np.uint64(bits)) | _ahead(one, 8)
+            first, which = _distinct([nine[self.sample]], [9 * bits])
         return [c[first] for c in columns], which
 
     def ranks(self, places: np.ndarray, which: np.ndarray, names: np.ndarray) -> np.ndarray:
@@ -331,8 +356,8 @@ def _reply_names(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def _sampled_keys(docs: pa.Table, told: pa.Table) -> pa.Table:
-    keys = np.unique(_Stretches(docs).nine()[0][0])
-    picked = keys[mix(keys) % np.uint64(997) == 0] ^ np.uint64(1 << 63)
+    keys = _Stretches(docs)._eight()
+    picked = np.unique(keys[mix(keys) % np.uint64(997) == 0]) ^ np.uint64(1 << 63)
     return pa.table({"key": pa.array(picked.view(np.int64))})
 
 
@@ -355,7 +380,7 @@ class _StretchUnits(Units):
     def __init__(self, stretches: DataFrame):
         one = stretches.select(
             F.col("digest"), F.col("owner").alias("doc_id"), F.col("bytes").alias("text"))
-        super().__init__(one, unit_bytes=4_000_000)
+        super().__init__(one, unit_bytes=3_000_000)
 
     def columns(self, docs: DataFrame) -> DataFrame:
         return docs.select("doc_id", "text", "digest")
@@ -399,7 +424,7 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
     """
     units = Units(docs.select("doc_id", F.col("text").cast("binary").alias("text")))
     repeated = units.ask(_ask_anchors(units.ranges), [], _reply_repeated)
-    found = stash(units.run(_stretches, _STRETCH, [repeated]), "stretches")
+    found = stash(units.run(_stretches, _STRETCH, [repeated]), "stretches", "zstd")
     rank = F.coalesce("doc_id", F.lit(_LAST_ID))
     owned = found.groupBy("digest").agg(
         F.min(rank).alias("owner"), F.min_by("bytes", "at").alias("bytes"))

@@ -195,3 +195,28 @@ def test_suffix_rows_are_told_apart_alike_packed_or_not():
     packed, same = suffixes._distinct(list(rows), [21, 21, 21])
     assert (which == same).all() and (rows[:, first] == rows[:, packed]).all()
     assert suffixes._packed(list(rows), [22, 22, 22]) is None
+
+
+def test_anchors_do_not_depend_on_the_strips(monkeypatch):
+    rng = np.random.default_rng(5)
+    data = rng.integers(97, 100, 5000).astype(np.uint8)
+    data[1000:1400] = data[3000:3400]
+    whole = suffixes._anchors(data)
+    monkeypatch.setattr(suffixes, "_STRIP", 128)
+    for a, b in zip(whole, suffixes._anchors(data)):
+        assert (a == b).all()
+
+
+def test_a_full_encoder_gives_the_same_ids():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    plain = Tokenizer.from_file(path)
+    texts = [t or "" for _, t in PLAIN] * 2 + ["new words here", "here new words"]
+    for most in (0, 5, 10 ** 6):
+        encoder = tokens.WordwiseEncoder(path, most)
+        for _ in range(2):
+            ids, ends = encoder.encode(pa.array(texts))
+            got = [ids[a:b].tolist() for a, b in zip(np.append(0, ends[:-1]), ends)]
+            assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
