@@ -126,19 +126,17 @@ ENTRIES = {
         lambda m: charts.monthly_trend(_view(m, "order_month", "sales", "profit")),
         flat(f"SELECT order_month, {SUMS} FROM flat GROUP BY order_month")),
     "ch2_category_performance": (
-        lambda m: charts.performance_by(_view(m, "category_name", "sales", "profit"),
-                                        "category_name"),
+        lambda m: charts.performance_by(charts.summed_view(m, "category_name"), "category_name"),
         flat(f"SELECT category_name, {SUMS} FROM flat GROUP BY category_name")),
     "ch3_region_performance": (
-        lambda m: charts.performance_by(_view(m, "region_name", "sales", "profit"),
-                                        "region_name"),
+        lambda m: charts.performance_by(charts.summed_view(m, "region_name"), "region_name"),
         flat(f"SELECT region_name, {SUMS} FROM flat GROUP BY region_name")),
     "ch4_top_products": (
-        lambda m: charts.top_products(_view(m, "product_name", "profit")), flat("""
+        lambda m: charts.top_products(charts.summed_view(m, "product_name")), flat("""
         SELECT product_name, CAST(SUM(profit) AS DOUBLE) AS profit FROM flat
         GROUP BY product_name ORDER BY SUM(profit) DESC, product_name LIMIT 10""")),
     "ch4_bottom_products_by_sales": (
-        lambda m: charts.top_products(_view(m, "product_name", "sales"), 25, "sales", True),
+        lambda m: charts.top_products(charts.summed_view(m, "product_name"), 25, "sales", True),
         flat("""
         SELECT product_name, CAST(SUM(sales) AS DOUBLE) AS sales FROM flat
         GROUP BY product_name ORDER BY SUM(sales), product_name LIMIT 25""")),
@@ -154,7 +152,7 @@ ENTRIES = {
                COUNT(*) AS points
         FROM flat GROUP BY 1, 2""")),
     "ch6_segment_share": (
-        lambda m: charts.segment_share(_view(m, "segment", "sales")),
+        lambda m: charts.segment_share(charts.summed_view(m, "segment")),
         flat("SELECT segment, CAST(SUM(sales) AS DOUBLE) AS sales FROM flat GROUP BY segment")),
     "ch7_correlation_heatmap": (
         lambda m: settle(charts.correlation_heatmap(_view(m, *charts.CORRELATED))),

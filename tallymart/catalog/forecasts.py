@@ -97,11 +97,16 @@ POINTS = """
 
 
 def _monthly(m, *groups: str):
-    return fc.aggregate_monthly(m.lines(*groups, "order_month", "sales"), "sales", groups)
+    return fc.aggregate_monthly(_summed(m, *groups), "sales", groups)
+
+
+def _summed(m, *groups: str):
+    """Sales per month, summed per key before a group's dimension is joined."""
+    return m.totals([*groups, "order_month"], "revenue").withColumnRenamed("revenue", "sales")
 
 
 def _forecast(m, *groups: str):
-    return fc.sales_forecast(m.lines(*groups, "order_month", "sales"), group_cols=groups)
+    return fc.sales_forecast(_summed(m, *groups), group_cols=groups)
 
 
 def _scored(m):

@@ -9,13 +9,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallymart.schema import MONEY, RATE
+from tallymart.schema import MALFORMED, MONEY, RATE
 
 CRITICAL = ("order_date", "ship_date", "sales", "quantity", "customer_id", "product_id")
 RULES = ("duplicate row", "missing critical field", "ship_date < order_date",
-         "discount outside [0, 1]", "quantity not positive", "out of range")
+         "discount outside [0, 1]", "quantity not positive", "out of range", "malformed row")
 COPIES, BROKEN = "extra_copies", "broken_rule"
 
+# Plain decimal notation, or an infinity. A cast would also read 0.1d, 2f and 0x1p-3.
+_PLAIN = r"^[ \t]*[+-]?(([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))[ \t]*$"
+
 # Fixed value: the characters that count as white space at either end of a text.
 WHITE_SPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
@@ -38,7 +41,7 @@ def drop_duplicates(df: DataFrame) -> DataFrame:
     merged before the shuffle, so a row repeated very often costs nothing.
     """
     business = [c for c in df.columns if c != "row_id"]
-    number = F.coalesce(F.col("row_id").try_cast("bigint"), _whole_number("row_id", "bigint"))
+    number = F.coalesce(_plain("row_id").try_cast("bigint"), _whole_number("row_id", "bigint"))
     kept = df.groupBy(*business).agg(
         F.min(number).alias("row_id"), (F.count(F.lit(1)) - 1).alias(COPIES))
     return kept.select(*df.columns, COPIES)
@@ -48,14 +51,17 @@ def _date(column: str) -> Column:
     return F.try_to_date(F.col(column), "M/d/yyyy")
 
 
+def _plain(column: str) -> Column:
+    return F.when(F.col(column).rlike(_PLAIN), F.col(column))
+
+
 def _number(column: str) -> Column:
     """The number as written, whatever its size; NULL for anything else."""
-    number = F.col(column).try_cast("double")
-    return F.when(~F.isnan(number), number)
+    return _plain(column).try_cast("double")
 
 
 def _whole_number(column: str, kind: str = "int") -> Column:
-    number = F.col(column).try_cast("double")
+    number = _number(column)
     return F.when(number % 1 == 0, number.try_cast(kind))
 
 
@@ -63,8 +69,8 @@ def cast_types(df: DataFrame) -> DataFrame:
     """CLN3, CLN4: what cannot be read as its type becomes NULL."""
     return df.withColumns({
         "order_date": _date("order_date"), "ship_date": _date("ship_date"),
-        "sales": F.col("sales").try_cast(MONEY), "profit": F.col("profit").try_cast(MONEY),
-        "discount": F.col("discount").try_cast(RATE), "quantity": _whole_number("quantity")})
+        "sales": _plain("sales").try_cast(MONEY), "profit": _plain("profit").try_cast(MONEY),
+        "discount": _plain("discount").try_cast(RATE), "quantity": _whole_number("quantity")})
 
 
 def fill_postal_code(df: DataFrame) -> DataFrame:
@@ -97,24 +103,49 @@ def _broken_rule() -> Column:
 
 
 def tag_rows(raw: DataFrame) -> DataFrame:
-    """All steps; every distinct row is still there, with its ``broken_rule``."""
-    texts = drop_duplicates(strip_strings(raw)).withColumn(BROKEN, _broken_rule())
+    """All steps; every distinct row is still there, with its ``broken_rule``.
+
+    A row that came with its text in ``malformed_record`` breaks the rule "malformed row",
+    whatever its fields seem to say.
+    """
+    rule = _broken_rule()
+    if MALFORMED in raw.columns:
+        rule = F.when(F.col(MALFORMED).isNotNull(), RULES[6]).otherwise(rule)
+    texts = drop_duplicates(strip_strings(raw)).withColumn(BROKEN, rule)
     return fill_postal_code(cast_types(texts))
 
 
 def good_rows(tagged: DataFrame) -> DataFrame:
-    return tagged.where(F.col(BROKEN).isNull()).drop(BROKEN, COPIES)
+    return tagged.where(F.col(BROKEN).isNull()).drop(BROKEN, COPIES, MALFORMED)
 
 
 def clean(raw: DataFrame) -> DataFrame:
     return good_rows(tag_rows(raw))
 
 
+def _dropped_as() -> list[tuple[Column, Column]]:
+    """(rule, rows) of a tagged row: its extra copies, then itself; malformed rows are all malformed."""
+    malformed = F.coalesce(F.col(BROKEN) == RULES[6], F.lit(False))
+    one = F.lit(1).cast("bigint")
+    return [(F.lit(RULES[0]), F.when(malformed, one - one).otherwise(F.col(COPIES))),
+            (F.col(BROKEN), F.when(malformed, one + F.col(COPIES)).otherwise(one))]
+
+
 def drop_report(tagged: DataFrame) -> DataFrame:
     """CLN10: rows dropped per rule; rules that dropped nothing have no row."""
-    drops = F.explode(F.array(
-        F.struct(F.lit(RULES[0]).alias("rule"), F.col(COPIES).alias("n")),
-        F.struct(F.col(BROKEN).alias("rule"), F.lit(1).cast("bigint").alias("n"))))
+    drops = F.explode(F.array(*[
+        F.struct(rule.alias("rule"), n.alias("n")) for rule, n in _dropped_as()]))
     return (
         tagged.select(drops.alias("d")).where("d.rule IS NOT NULL AND d.n > 0")
         .groupBy("d.rule").agg(F.sum("d.n").alias("dropped")))
+
+
+def drop_metrics() -> list[Column]:
+    """The same counts as columns to observe while tagged rows are written, and the rows read."""
+    (_, copies), (rule, own) = _dropped_as()
+    found = [F.sum(copies).alias(RULES[0])]
+    found += [F.sum(F.when(rule == name, own)).alias(name) for name in RULES[1:]]
+    return [*found, F.sum(F.col(COPIES) + 1).alias(READ)]
+
+
+READ = "rows read"

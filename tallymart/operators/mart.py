@@ -81,6 +81,9 @@ class Mart:
     def __init__(self, tables: dict[str, DataFrame]):
         self.tables = tables
 
+    #: Columns on which sales and orders meet.
+    order_keys = ("order_id",)
+
     # -- joins ---------------------------------------------------------------
 
     def lines(self, *columns: str) -> DataFrame:
@@ -163,7 +166,7 @@ class Mart:
         """Sales, joined to their orders when an order column or key is needed."""
         sales = self.tables["sales"]
         if any(self._needs_order(c) for c in plain):
-            return sales.join(self.tables["orders"], "order_id")
+            return sales.join(self.tables["orders"], list(self.order_keys))
         return sales
 
     def _needs_order(self, column: str) -> bool:
@@ -187,3 +190,25 @@ class Mart:
             if table in needed and table != "orders":
                 df = df.join(self._dimension(table), key)
         return df
+
+
+class YearMart(Mart):
+    """A mart whose orders and sales carry ``order_year`` and are stored by it.
+
+    They meet on the year as well, so a filter on it, however it got there, holds for the
+    files of both.
+    """
+
+    order_keys = ("order_id", "order_year")
+
+    def _needs_order(self, column: str) -> bool:
+        return column != "order_year" and super()._needs_order(column)
+
+    def _plain(self, columns: Iterable[str]) -> set[str]:
+        """The year is stored, not derived."""
+        return super()._plain(c for c in columns if c != "order_year")
+
+    def _project(self, df: DataFrame, columns: Iterable[str]) -> DataFrame:
+        return df.select(*[
+            derived(c)[1].alias(c) if c in DERIVED_NAMES and c != "order_year" else F.col(c)
+            for c in columns])

@@ -31,7 +31,16 @@ def add_profit_margin(df: DataFrame) -> DataFrame:
 def filter_view(df: DataFrame, start: dt.date | None = None, end: dt.date | None = None,
                 regions: Iterable[str] | None = None, categories: Iterable[str] | None = None,
                 segments: Iterable[str] | None = None) -> DataFrame:
-    """Inclusive dates and value lists; ``None`` means no filter, an empty list no rows."""
+    """Inclusive dates and value lists; ``None`` means no filter, an empty list no rows.
+
+    A view with ``order_year`` is filtered on that too, which skips files of tables stored
+    by year.
+    """
+    if "order_year" in df.columns:
+        if start is not None:
+            df = df.where(F.col("order_year") >= start.year)
+        if end is not None:
+            df = df.where(F.col("order_year") <= end.year)
     if start is not None:
         df = df.where(F.col("order_date") >= F.lit(start))
     if end is not None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tallymart.functions.measures import ratio, real
+from tallymart.operators.mart import Mart
 from tallymart.plans.counts import ValueCounts, fences_of
 from tallymart.plans.stats import correlation_matrix
 
@@ -25,6 +26,14 @@ def kpis(view: DataFrame) -> DataFrame:
         ratio("sales", "total_orders").alias("avg_order_value"))
 
 
+def summed_view(mart: Mart, *dims: str) -> DataFrame:
+    """``dims``, sales and profit of a mart, summed per key before a dimension is joined.
+
+    For the charts that only sum: they read it like a view with a row per sale.
+    """
+    return mart.totals(list(dims), "revenue", "profit").withColumnRenamed("revenue", "sales")
+
+
 def _sums(view: DataFrame, dim: str, *measures: str) -> DataFrame:
     return view.groupBy(dim).agg(*[real(F.sum(m)).alias(m) for m in measures])
 

@@ -5,7 +5,8 @@ task. Here the rows are range-partitioned on the full order (ties included, so a
 hot value is split too), written once, and every ordered function is a window
 inside one block plus a carry from the blocks before it. The carries live in a
 table with one row per block, at most ``spark.sql.shuffle.partitions`` rows,
-which is what makes broadcasting it and windowing over it safe.
+which is what makes broadcasting it and windowing over it safe. The blocks are
+stored bucketed by their number, so windows inside blocks need no exchange.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallymart.session import stash
+from tallymart.session import stash_bucketed
 
 _BLOCK, _POS = "_block", "_pos"
 # monotonically_increasing_id keeps the row's place in its partition in 33 bits.
@@ -31,7 +32,8 @@ class OrderedBlocks:
             .withColumn(_POS, F.monotonically_increasing_id().bitwiseAND(F.lit(_PLACE_BITS)))
         )
         self.columns = df.columns
-        self.rows = stash(placed, "ordered")
+        # Bucketed by block: what is windowed inside blocks is read where it lies.
+        self.rows = stash_bucketed(placed, "ordered", _BLOCK)
 
     def _blocks(self, *facts: Column) -> DataFrame:
         return self.rows.groupBy(_BLOCK).agg(F.count(F.lit(1)).alias("_n"), *facts)

@@ -44,26 +44,32 @@ def descriptive_stats(df: DataFrame, column: str) -> DataFrame:
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """ST2: Pearson, pairwise complete, long form. NULL where a column is constant.
 
-    Each row is read once and turned into one (x, y) per pair of columns, merged
-    before the shuffle: three aggregates over more rows compile to fast code, where
-    three aggregates per pair in one row do not.
+    One aggregate row holds, for every pair of columns, count, means, centred sums and
+    cross product of the rows where both are there (what ``covar_pop`` and ``var_pop`` keep
+    and merge between tasks); no row is generated per pair. Matrix and aggregate grow with
+    the columns alone.
     """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    values = F.array(*[
-        F.struct(F.lit(i).alias("pair"), F.col(a).alias("x"), F.col(b).alias("y"))
-        for i, (a, b) in enumerate(pairs)])
-    spread = F.sqrt(F.regr_sxx("y", "x")) * F.sqrt(F.regr_syy("y", "x"))
-    found = (
-        df.select(*[real(c).alias(c) for c in columns]).select(F.inline(values))
-        .groupBy("pair").agg((F.regr_sxy("y", "x") / nonzero(spread)).alias("correlation")))
-    names = F.array(*[
-        F.array(*[F.struct(F.lit(x).alias("row_column"), F.lit(y).alias("column"))
-                  for x, y in sorted({(a, b), (b, a)})]) for a, b in pairs])
-    every_pair = df.sparkSession.range(len(pairs)).select(F.col("id").cast("int").alias("pair"))
-    return (
-        every_pair.join(found, "pair", "left")
-        .select(F.explode(F.element_at(names, F.col("pair") + 1)).alias("name"), "correlation")
-        .select("name.row_column", "name.column", "correlation"))
+    named = [f"c{i}" for i in range(len(columns))]
+    data = df.select(*[real(c).alias(n) for c, n in zip(columns, named)])
+    spreads, crosses = [], []
+    for i, a in enumerate(named):
+        spreads.append(F.var_pop(a).alias(f"v{i}"))
+        for j in range(i + 1, len(named)):
+            both = F.when(F.col(a).isNotNull() & F.col(named[j]).isNotNull(), F.col(a))
+            other = F.when(F.col(a).isNotNull() & F.col(named[j]).isNotNull(), F.col(named[j]))
+            crosses += [F.covar_pop(a, named[j]).alias(f"x{i}_{j}"), F.var_pop(both).alias(f"a{i}_{j}"),
+                        F.var_pop(other).alias(f"b{i}_{j}")]
+    moments = data.agg(*spreads, *crosses)
+    cells = []
+    for i, a in enumerate(columns):
+        for j, b in enumerate(columns):
+            low, high = min(i, j), max(i, j)
+            spread = F.sqrt(f"a{low}_{high}") * F.sqrt(f"b{low}_{high}") if i != j else None
+            value = (F.when(F.col(f"v{i}") > 0, F.lit(1.0)) if i == j
+                     else F.col(f"x{low}_{high}") / nonzero(spread))
+            cells.append(F.struct(F.lit(a).alias("row_column"), F.lit(b).alias("column"),
+                                  value.alias("correlation")))
+    return moments.select(F.inline(F.array(*cells)))
 
 
 def quartiles(df: DataFrame, column: str, accuracy: int = 10_000) -> DataFrame:

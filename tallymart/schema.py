@@ -17,6 +17,9 @@ MISSING_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
+# The column that holds the text of a row with too few or too many fields.
+MALFORMED = "malformed_record"
+
 MONEY = T.DecimalType(12, 4)
 RATE = T.DecimalType(5, 4)
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,8 +53,35 @@ def scratch_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_SCOPES: list[list[str]] = []
+_TABLE_AT: dict[str, str] = {}  # catalog tables whose files lie in the scratch folder
+
+
 def new_scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession, keep: str | None = None) -> Iterator[None]:
+    """Delete what is written to the scratch folder inside, when it is over.
+
+    For work whose results lie elsewhere by then. Paths under the label ``keep`` stay.
+    """
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        for path in made:
+            if keep is None or not path.rpartition("/")[2].startswith(f"{keep}-"):
+                if path in _TABLE_AT:
+                    spark.sql(f"DROP TABLE IF EXISTS {_TABLE_AT.pop(path)}")
+                place = spark._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def stash(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
@@ -64,3 +93,22 @@ def stash(df: DataFrame, label: str, compression: str | None = None) -> DataFram
     path = new_scratch_path(df.sparkSession, label)
     df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stash_bucketed(df: DataFrame, label: str, key: str, buckets: int | None = None,
+                   sort: str | None = None, compression: str | None = None) -> DataFrame:
+    """As ``stash``, stored so that rows of one ``key`` are read together, without a shuffle.
+
+    Every different key of a partition of ``df`` is a file, so there should be few.
+    """
+    spark = df.sparkSession
+    count = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name, path = f"{label}_{uuid.uuid4().hex}", new_scratch_path(spark, label)
+    _TABLE_AT[path] = name
+    writer = df.write.bucketBy(count, key).option("path", path)
+    if sort:
+        writer = writer.sortBy(sort)
+    if compression:
+        writer = writer.option("compression", compression)
+    writer.saveAsTable(name)
+    return spark.table(name)

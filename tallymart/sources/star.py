@@ -39,8 +39,9 @@ class StarMart(Mart):
         wants_location = plain & {"location_id", "city", "state", "postal_code",
                                   "region_id", "region_name"}
         if wants_location:
-            orders = orders.join(self._dimension("customers").select("customer_id", "location_id"),
-                                 "customer_id")
+            named = [c for c in ("customer_name", "segment") if c in plain]
+            orders = orders.join(self._dimension("customers").select(
+                "customer_id", "location_id", *named), "customer_id")
         price = F.col("l_extendedprice") * (1 - F.col("l_discount"))
         lines = self.raw("lineitem").select(
             F.col("l_orderkey").alias("order_id"),

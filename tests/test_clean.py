@@ -76,3 +76,29 @@ def test_discount_is_judged_before_it_is_rounded(raw_of):
 @pytest.mark.parametrize("text,expected", [("7", 7), ("7.0", 7), ("7.5", None), ("x", None), ("", None)])
 def test_row_ids(raw_of, text, expected):
     assert rows(clean.clean(raw_of({"row_id": text})), "row_id") == [(expected,)]
+
+
+@pytest.mark.parametrize("text", ["12d", "2f", "0x1p2", "1_000", "1,000", "nan", "1e", "."])
+def test_only_plain_decimal_notation_is_a_number(raw_of, text):
+    for column in ("sales", "quantity"):
+        got = dict(rows(clean.drop_report(clean.tag_rows(raw_of({column: text})))))
+        assert got == {"missing critical field": 1}
+    assert dict(rows(clean.drop_report(clean.tag_rows(raw_of({"discount": text}))))) == {
+        "discount outside [0, 1]": 1}
+    assert rows(clean.clean(raw_of({"profit": text, "row_id": text})), "profit", "row_id") == [(None, None)]
+
+
+@pytest.mark.parametrize("text,value", [("1e2", 100), ("+.5e1", 5), ("7.", 7), ("0007", 7)])
+def test_plain_notations(raw_of, text, value):
+    [(sales, quantity)] = rows(clean.clean(raw_of({"sales": text, "quantity": text})), "sales", "quantity")
+    assert (float(sales), quantity) == (value, value)
+
+
+def test_malformed_rows_are_counted_whole(raw_of):
+    from pyspark.sql import functions as F
+    raw = raw_of({}, {}, {"sales": None}, {"quantity": "0"}).withColumn(
+        "malformed_record", F.when(F.col("row_id") <= 2, "a,b"))
+    tagged = clean.tag_rows(raw)
+    assert dict(rows(clean.drop_report(tagged))) == {
+        "malformed row": 2, "missing critical field": 1, "quantity not positive": 1}
+    assert "malformed_record" not in clean.good_rows(tagged).columns

@@ -120,3 +120,15 @@ def test_counts_give_ranks_and_span(spark, many_blocks):
     ranks = [0, 17, 250, 499]
     assert counts.at_ranks(ranks) == {r: ordered[r] for r in ranks}
     assert counts.span == (ordered[0], ordered[-1], 500)
+
+
+def test_blocks_are_windowed_where_they_lie(spark, many_blocks):
+    _, df = table(spark)
+    blocks = OrderedBlocks(df, "g", F.desc("v"), "id")
+    for got in (blocks.previous(["g"], "v", "p"), blocks.running_sums(s="v"), blocks.rank_within(["g"], "v", "r")):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        lines = plan.splitlines()
+        windows = [i for i, line in enumerate(lines) if "Window [" in line and "_block" in line and "_pos" in line]
+        assert windows
+        for i in windows:  # a sort at most lies between a window and the join or scan below it
+            assert not any("Exchange hashpartitioning" in line for line in lines[i + 1:i + 3])

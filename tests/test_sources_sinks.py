@@ -1,3 +1,6 @@
+import datetime as dt
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +10,9 @@ from tallymart.operators.mart import Mart
 from tallymart.operators.quality import row_counts
 from tallymart.schema import LOAD_ORDER, RAW_COLUMNS
 from tallymart.sources.raw_csv import SchemaValidationError, load_raw, standard_name
-from tallymart.sources.tables import catalog_tables, first_available, load_tables
+from tallymart.operators.view import filter_view
+from tallymart.session import scratch_dir
+from tallymart.sources.tables import catalog_tables, first_available, load_by_year, load_tables
 
 
 def raw_file(tmp_path, *changes, header=RAW_COLUMNS, name="raw.csv"):
@@ -141,3 +146,65 @@ def test_pipeline_keeps_names_without_usable_row_ids(spark, tmp_path):
     assert tables["customers"].where("customer_name IS NULL OR segment IS NULL").count() == 0
     assert tables["orders"].where("order_date IS NULL OR location_id IS NULL").count() == 0
     assert tables["products"].where("product_name = 'two\nlines'").count() == 1
+
+
+def bad_file(tmp_path):
+    """Two good rows, one of 20 and two of 22 fields, and one with a rule broken."""
+    path = raw_file(tmp_path, {}, {"region": "West"}, {"quantity": "0"})
+    good = open(path, encoding="latin-1").read().splitlines()[1]
+    with open(path, "a", encoding="latin-1") as file:
+        file.write("\n" + good.replace("O0", "O8").rpartition(",")[0])
+        file.write("\n" + good.replace("O0", "O9") + ",more" + "\n" + good.replace("O0", "O9") + ",more")
+    return path
+
+
+def test_malformed_rows_fail_or_are_tagged(spark, tmp_path):
+    path = bad_file(tmp_path)
+    with pytest.raises(Exception, match="(?i)malformed|failed_read_file"):
+        load_raw(spark, path).select("order_id").collect()
+    tagged = [r.malformed_record for r in load_raw(spark, path, malformed="tag").collect()]
+    assert len(tagged) == 6 and sum(r is not None for r in tagged) == 3
+    assert sum(r is not None and r.endswith(",more") for r in tagged) == 2
+    with pytest.raises(ValueError):
+        load_raw(spark, path, malformed="ignore")
+
+
+def test_pipeline_reports_what_it_saw_and_cleans_up(spark, tmp_path):
+    scratch = scratch_dir(spark).removeprefix("file:")
+    before = set(os.listdir(scratch))
+    tables = {t.name for t in spark.catalog.listTables()}
+    result = sinks.run_pipeline(spark, bad_file(tmp_path), str(tmp_path / "out"))
+    assert set(os.listdir(scratch)) == before and {t.name for t in spark.catalog.listTables()} == tables
+    assert dict(rows(result.drops)) == {"malformed row": 3, "quantity not positive": 1}
+    assert result.rows_read == 6
+    assert dict(rows(result.counts)) == dict(rows(row_counts(result.mart)))
+    assert result.mart.lines("sales", "region_name").count() == 2
+
+
+def test_a_filter_on_dates_skips_files_of_orders_and_sales(spark, tiny, tmp_path):
+    sinks.write_by_year(tiny, str(tmp_path))
+    mart = load_by_year(spark, str(tmp_path))
+    columns = ("order_id", "sales", "order_date", "order_year", "region_name")
+    for start, end in ((dt.date(2023, 1, 4), dt.date(2023, 2, 1)), (dt.date(2022, 1, 6), None), (None, None)):
+        view = filter_view(mart.lines(*columns), start, end)
+        want = filter_view(tiny.lines(*columns), start, end)
+        assert sorted(rows(view)) == sorted(rows(want))
+    plan = filter_view(mart.lines(*columns), dt.date(2023, 1, 4))._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "PartitionFilters: [" in line and "order_year" in line]
+    assert len(scans) >= 2 and all(">= 2023" in line for line in scans)
+    assert mart.lines("product_id", "sales").count() == 8
+
+
+def test_a_source_with_a_broken_file_is_passed_over(spark, tiny, tmp_path):
+    sinks.write_tables(tiny, str(tmp_path))
+    folder = tmp_path / "products.parquet"
+    for name in os.listdir(folder):
+        (folder / name).write_bytes(b"no parquet")
+    with pytest.warns(UserWarning, match="trying the next"):
+        assert first_available([lambda: load_tables(spark, str(tmp_path), "parquet"), lambda: tiny]) is tiny
+
+    def down():
+        raise RuntimeError("down")
+    with pytest.warns(UserWarning), pytest.raises(Exception) as raised:
+        first_available([down, lambda: load_tables(spark, str(tmp_path), "parquet")])
+    assert raised.value.__notes__ == ["before that: down"]
