@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallymart.session import configure
 from tallymart.sources.star import StarMart
 
-_MODULES = ("reports", "charts", "statistics", "forecasts", "advice", "tables")
+_MODULES = ("reports", "charts", "statistics", "forecasts", "advice", "tables", "eight")
 
 
 def _entries() -> dict[str, tuple[Callable, str | None]]:

@@ -14,7 +14,9 @@ from tallymart.schema import RAW_COLUMNS
 from tallymart.sources.star import StarMart
 
 # Tax in percent -> what is wrong with the row.
-DUPLICATED, NO_POSTAL, BAD_DATE, ZERO, TOO_CHEAP, FRACTION = 3, 4, 5, 6, 7, 8
+ODD, DUPLICATED, NO_POSTAL, BAD_DATE, ZERO, TOO_CHEAP, FRACTION = 1, 3, 4, 5, 6, 7, 8
+# Line number modulo 6 of an odd row -> which of its fields is odd.
+TEXT_ID, POINT_ID, NO_ID, HALF_STEP, SUFFIXED, TOO_LARGE = 0, 1, 2, 3, 4, 5
 
 _LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
          "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
@@ -35,8 +37,11 @@ def raw_text(m: StarMart) -> DataFrame:
     price = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     padded = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("  "), "c_name", F.lit("\t")))
     discount = F.col("l_discount").cast("decimal(5,4)")
+    odd = F.when(tax == ODD, F.col("l_linenumber") % 6)
+    number = (2 * F.col("n") + F.col("copy")).cast("string")
     columns = {
-        "row_id": (2 * F.col("n") + F.col("copy")).cast("string"),
+        "row_id": F.when(odd == TEXT_ID, F.concat(F.lit("R"), number))
+        .when(odd == POINT_ID, F.concat(number, F.lit(".0"))).when(odd == NO_ID, None).otherwise(number),
         "order_id": F.col("o_orderkey").cast("string"),
         "order_date": F.when(tax == BAD_DATE, F.date_format("o_orderdate", "yyyy-MM-dd"))
         .otherwise(F.date_format("o_orderdate", "MM/dd/yyyy")),
@@ -55,12 +60,16 @@ def raw_text(m: StarMart) -> DataFrame:
         "category": F.col("p_type"),
         "sub_category": F.col("p_brand"),
         "product_name": F.col("p_name"),
-        "sales": price.cast("decimal(12,4)").cast("string"),
-        "quantity": F.when(tax == ZERO, "0").otherwise(F.concat(
+        "sales": F.when(odd == TOO_LARGE, "100000000").otherwise(
+            price.cast("decimal(12,4)").cast("string")),
+        # A row whose id cannot be used is dropped as well: the tables need no order for it.
+        "quantity": F.when((tax == ZERO) | odd.isin(TEXT_ID, NO_ID), "0").otherwise(F.concat(
             F.col("l_quantity").cast("int").cast("string"),
             F.when(tax == FRACTION, ".5").otherwise(""))),
-        "discount": F.when(tax == TOO_CHEAP, (discount + 1).cast("decimal(5,4)"))
-        .otherwise(discount).cast("string"),
+        "discount": F.when(odd == HALF_STEP, "1.00004")
+        .when(odd == SUFFIXED, F.concat(discount.cast("string"), F.lit("d")))
+        .when(tax == TOO_CHEAP, (discount + 1).cast("decimal(5,4)").cast("string"))
+        .otherwise(discount.cast("string")),
         "profit": (price - F.col("l_quantity") * F.col("p_retailprice"))
         .cast("decimal(12,4)").cast("string"),
     }
@@ -72,10 +81,14 @@ def raw_text(m: StarMart) -> DataFrame:
 RAW_SQL = f"""
 lines AS (
   SELECT *, CAST(ROUND(l_tax * 100) AS INTEGER) AS tax,
+         CASE WHEN CAST(ROUND(l_tax * 100) AS INTEGER) = {ODD} THEN l_linenumber % 6 END AS odd,
          row_number() OVER (ORDER BY {", ".join(_LINE)}) AS n
   FROM lineitem),
 raw AS (
-  SELECT CAST(2 * n + copy AS VARCHAR) AS row_id, CAST(o_orderkey AS VARCHAR) AS order_id,
+  SELECT CASE WHEN odd = {TEXT_ID} THEN 'R' || CAST(2 * n + copy AS VARCHAR)
+              WHEN odd = {POINT_ID} THEN CAST(2 * n + copy AS VARCHAR) || '.0'
+              WHEN odd = {NO_ID} THEN NULL ELSE CAST(2 * n + copy AS VARCHAR) END AS row_id,
+    CAST(o_orderkey AS VARCHAR) AS order_id,
     CASE WHEN tax = {BAD_DATE} THEN strftime(o_orderdate, '%Y-%m-%d')
          ELSE strftime(o_orderdate, '%m/%d/%Y') END AS order_date,
     strftime(l_shipdate, '%m/%d/%Y') AS ship_date, o_orderpriority AS ship_mode,
@@ -86,11 +99,14 @@ raw AS (
          ELSE lpad(CAST(n_nationkey AS VARCHAR), 5, '0') END AS postal_code,
     r_name AS region, CAST(p_partkey AS VARCHAR) AS product_id, p_type AS category,
     p_brand AS sub_category, p_name AS product_name,
-    CAST(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(12,4)) AS VARCHAR) AS sales,
-    CASE WHEN tax = {ZERO} THEN '0' ELSE CAST(CAST(l_quantity AS INTEGER) AS VARCHAR)
+    CASE WHEN odd = {TOO_LARGE} THEN '100000000'
+         ELSE CAST(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(12,4)) AS VARCHAR) END AS sales,
+    CASE WHEN tax = {ZERO} OR odd IN ({TEXT_ID}, {NO_ID}) THEN '0' ELSE CAST(CAST(l_quantity AS INTEGER) AS VARCHAR)
       || CASE WHEN tax = {FRACTION} THEN '.5' ELSE '' END END AS quantity,
-    CAST(CAST(l_discount AS DECIMAL(5,4)) + CASE WHEN tax = {TOO_CHEAP} THEN 1 ELSE 0 END
-         AS VARCHAR) AS discount,
+    CASE WHEN odd = {HALF_STEP} THEN '1.00004'
+         WHEN odd = {SUFFIXED} THEN CAST(CAST(l_discount AS DECIMAL(5,4)) AS VARCHAR) || 'd'
+         ELSE CAST(CAST(l_discount AS DECIMAL(5,4)) + CASE WHEN tax = {TOO_CHEAP} THEN 1 ELSE 0 END
+                   AS VARCHAR) END AS discount,
     CAST(CAST(l_extendedprice * (1 - l_discount) - l_quantity * p_retailprice
               AS DECIMAL(12,4)) AS VARCHAR) AS profit
   FROM lines
@@ -104,7 +120,7 @@ _BUSINESS = ", ".join(n for n in NAMES if n != "row_id")
 CLEAN_SQL = f"""
 stripped AS (SELECT * REPLACE (trim(customer_name, ' ' || chr(9)) AS customer_name) FROM raw),
 merged AS (
-  SELECT MIN(CAST(row_id AS BIGINT)) AS row_id, {_BUSINESS}, COUNT(*) - 1 AS extra_copies
+  SELECT MIN(CAST(TRY_CAST(row_id AS DOUBLE) AS BIGINT)) AS row_id, {_BUSINESS}, COUNT(*) - 1 AS extra_copies
   FROM stripped GROUP BY {_BUSINESS}),
 typed AS (
   SELECT * REPLACE (
@@ -114,17 +130,20 @@ typed AS (
     TRY_CAST(discount AS DECIMAL(5,4)) AS discount,
     CASE WHEN TRY_CAST(quantity AS DOUBLE) % 1 = 0 THEN CAST(TRY_CAST(quantity AS DOUBLE) AS INTEGER)
       END AS quantity,
-    COALESCE(postal_code, 'UNKNOWN') AS postal_code)
+    COALESCE(postal_code, 'UNKNOWN') AS postal_code),
+    TRY_CAST(discount AS DOUBLE) AS discount_written, TRY_CAST(sales AS DOUBLE) AS sales_written
   FROM merged),
 tagged AS (
   SELECT *, CASE
-      WHEN order_date IS NULL OR ship_date IS NULL OR sales IS NULL OR quantity IS NULL
+      WHEN order_date IS NULL OR ship_date IS NULL OR sales_written IS NULL OR quantity IS NULL
            OR customer_id IS NULL OR product_id IS NULL THEN 'missing critical field'
       WHEN ship_date < order_date THEN 'ship_date < order_date'
-      WHEN discount IS NULL OR discount NOT BETWEEN 0 AND 1 THEN 'discount outside [0, 1]'
-      WHEN quantity <= 0 THEN 'quantity not positive' END AS broken_rule
+      WHEN discount_written IS NULL OR discount_written NOT BETWEEN 0 AND 1
+        THEN 'discount outside [0, 1]'
+      WHEN quantity <= 0 THEN 'quantity not positive'
+      WHEN sales IS NULL THEN 'out of range' END AS broken_rule
   FROM typed),
-cleaned AS (SELECT * EXCLUDE (broken_rule, extra_copies) FROM tagged WHERE broken_rule IS NULL)"""
+cleaned AS (SELECT * EXCLUDE (broken_rule, extra_copies, discount_written, sales_written) FROM tagged WHERE broken_rule IS NULL)"""
 
 NORMAL_SQL = """
 n_regions AS (

@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from tallymart import sinks
 from tallymart.catalog.base_sql import tables
-from tallymart.catalog.charts import PASSES, _filtered
+from tallymart.catalog.charts import FILTER, PASSES, _filtered
 from tallymart.catalog.base_sql import flat
 from tallymart.catalog.dirty import NAMES, dirty, raw_text
 from tallymart.operators import clean, normalize, quality
 from tallymart.operators.mart import Mart
-from tallymart.schema import LOAD_ORDER, RAW_COLUMNS
+from tallymart.operators.view import filter_view
+from tallymart.schema import FOREIGN_KEYS, LOAD_ORDER, PRIMARY_KEYS, RAW_COLUMNS, TABLES, UNIQUE_KEYS
 from tallymart.session import new_scratch_path, stash
 from tallymart.sources.raw_csv import load_raw, standardize_column_names
 from tallymart.sources.star import StarMart
-from tallymart.sources.tables import catalog_tables, first_available, load_tables
+from tallymart.sources.tables import catalog_tables, first_available, load_by_year, load_tables
 
 
 def _raw(m: StarMart) -> DataFrame:
@@ -99,15 +101,10 @@ earliest AS (
 fewer_products AS (
   SELECT p.* FROM t_products AS p JOIN part ON product_id = p_partkey WHERE p_type <> 'PROMO')"""
 
-_FOREIGN = (("locations", "region_id", "regions"), ("sub_categories", "category_id", "categories"),
-            ("products", "subcategory_id", "sub_categories"),
-            ("orders", "customer_id", "customers"), ("orders", "location_id", "locations"),
-            ("sales", "order_id", "orders"), ("sales", "product_id", "products"))
-
 
 def _ri_sql(**renamed: str) -> str:
     parts = []
-    for child, key, parent in _FOREIGN:
+    for child, key, parent in FOREIGN_KEYS:
         orphans = f"""SELECT DISTINCT {key} AS k FROM {renamed.get(child, "t_" + child)}
             WHERE {key} NOT IN (SELECT {key} FROM {renamed.get(parent, "t_" + parent)})"""
         parts.append(f"""
@@ -117,12 +114,8 @@ def _ri_sql(**renamed: str) -> str:
     return tables(" UNION ALL ".join(parts), EVERY_LINE)
 
 
-_UNIQUE = (("regions", "region_id", 1), ("locations", "location_id", 1),
-           ("customers", "customer_id", 1), ("categories", "category_id", 1),
-           ("sub_categories", "subcategory_id", 1), ("products", "product_id", 1),
-           ("orders", "order_id", 1), ("sales", "sales_id", 1), ("regions", "region_name", 0),
-           ("locations", "city, state, postal_code", 0), ("categories", "category_name", 0),
-           ("sub_categories", "subcategory_name, category_id", 0))
+_UNIQUE = [*((t, k, 1) for t, k in PRIMARY_KEYS.items()),
+           *((t, ", ".join(columns), 0) for t, columns in UNIQUE_KEYS.items())]
 
 
 def _unique_sql(**renamed: str) -> str:
@@ -133,20 +126,11 @@ def _unique_sql(**renamed: str) -> str:
         for t, keys, primary in _UNIQUE), EVERY_LINE)
 
 
-_COLUMNS = {
-    "regions": "region_id region_name", "locations": "location_id city state postal_code region_id",
-    "customers": "customer_id customer_name segment", "categories": "category_id category_name",
-    "sub_categories": "subcategory_id subcategory_name category_id",
-    "products": "product_id product_name subcategory_id",
-    "orders": "order_id order_date ship_date ship_mode customer_id location_id",
-    "sales": "sales_id order_id product_id sales quantity discount profit"}
-
-
 def _nulls_sql(**renamed: str) -> str:
     return tables(" UNION ALL ".join(f"""
         SELECT '{t}' AS table_name, '{c}' AS column_name,
                COUNT(*) FILTER (WHERE {c} IS NULL) AS nulls FROM {renamed.get(t, "t_" + t)}"""
-        for t, columns in _COLUMNS.items() for c in columns.split()), EVERY_LINE)
+        for t, schema in TABLES.items() for c in schema.names), EVERY_LINE)
 
 
 CHECKS_SQL = tables(" UNION ALL ".join(f"""
@@ -193,6 +177,32 @@ def _bulk_load(m: StarMart) -> Mart:
     return catalog_tables(spark, database)
 
 
+def _by_year(m: StarMart) -> Mart:
+    spark = m.raw("region").sparkSession
+    folder = new_scratch_path(spark, "by-year")
+    sinks.write_by_year(m.normalised(), folder)
+    return load_by_year(spark, folder)
+
+
+def _profile(mart: Mart) -> DataFrame:
+    """Of every column of all eight tables: values that are there, and different ones."""
+    parts = []
+    for table, schema in TABLES.items():
+        facts = mart.tables[table].agg(*[F.struct(
+            F.count(c).alias("n"), F.count_distinct(c).alias("n_distinct")).alias(c) for c in schema.names])
+        cells = [F.struct(F.lit(table).alias("table_name"), F.lit(c).alias("column_name"),
+                          F.col(f"{c}.n").alias("n"), F.col(f"{c}.n_distinct").alias("n_distinct"))
+                 for c in schema.names]
+        parts.append(facts.select(F.inline(F.array(*cells))))
+    return reduce(DataFrame.unionByName, parts)
+
+
+PROFILE_SQL = tables(" UNION ALL ".join(f"""
+        SELECT '{t}' AS table_name, '{c}' AS column_name, COUNT({c}) AS n,
+               COUNT(DISTINCT {c}) AS n_distinct FROM t_{t}"""
+    for t, schema in TABLES.items() for c in schema.names))
+
+
 def _exported(m: StarMart) -> DataFrame:
     view = _filtered(m, "order_id", "product_id", "sales", "quantity")
     path = new_scratch_path(view.sparkSession, "export")
@@ -225,6 +235,16 @@ ENTRIES = {
     "src4_snk1_csv_orders": (lambda m: _file_roundtrip(m, "csv").tables["orders"], ORDERS_SQL),
     "src5_src6_snk2_snk3_snk5_sales": (lambda m: _catalog_roundtrip(m).tables["sales"], SALES_SQL),
     "snk4_bulk_load_orders": (lambda m: _bulk_load(m).tables["orders"], ORDERS_SQL),
+    "src4_snk1_csv_profile": (lambda m: _profile(_file_roundtrip(m, "csv")), PROFILE_SQL),
+    "src4_snk1_by_year_profile": (lambda m: _profile(_by_year(m)), PROFILE_SQL),
+    "snk4_bulk_load_profile": (lambda m: _profile(_bulk_load(m)), PROFILE_SQL),
+    "flt1_tables_by_year": (
+        lambda m: filter_view(_by_year(m).lines(
+            "order_id", "sales", "order_date", "order_year", "region_name", "category_name", "segment"), **FILTER),
+        flat(f"""
+        SELECT CAST(order_id AS VARCHAR) AS order_id, sales, order_date, order_year, region_name, category_name,
+               segment
+        FROM flat WHERE {PASSES}""")),
     "snk6_row_counts": (lambda m: quality.row_counts(m.normalised()), COUNTS_SQL),
     "snk7_export_filtered": (_exported, flat(f"""
         SELECT CAST(order_id AS VARCHAR) AS order_id, CAST(product_id AS VARCHAR) AS product_id,
