@@ -1,6 +1,6 @@
 """Line dedup over levelled sorted runs of line digests.
 
-``LineRuns`` keeps the digests seen so far as sorted tables. A new batch is
+``LineRuns`` keeps the digests seen so far as tables bucketed and sorted by line. A new batch is
 anti-joined with every run (a merge of two sorted sides), and what is new in it
 becomes a run of level 0; when a level has ``fanout`` runs, they are merged into
 one of the next level. Lines are compared by the 128-bit digest of their key.
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallymart.llm.common import LOWER, UPPER, WHITE, digest, id_ranges, in_range, whole_texts
-from tallymart.session import stash
+from tallymart.session import stash, stash_bucketed
 
 
 class LineRuns:
@@ -44,7 +44,9 @@ class LineRuns:
     def _add(self, level: int, rows: DataFrame) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(stash(rows.sort("line"), f"line-run-{level}"))
+        # Bucketed and sorted by line: a batch grouped by line meets its run bucket by bucket,
+        # and only the batch is ever shuffled.
+        self.levels[level].append(stash_bucketed(rows, f"line_run_{level}", "line", sort="line"))
 
     def all(self) -> DataFrame | None:
         merged = None
