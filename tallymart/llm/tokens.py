@@ -258,8 +258,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
             yield _segment(part, seq, *held[0], width)
 
     order = F.col(order_by)
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), order.alias("_order"))
-    ordered = keyed.repartitionByRange("_order").sortWithinPartitions("_order", "doc_id")
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select("doc_id", text.alias("text"), order.alias("_order"), F.xxhash64(text).alias("_tie"))
+    # Rows without a key, or of one key, are split by what they say.
+    ordered = keyed.repartitionByRange("_order", "_tie").sortWithinPartitions("_order", "_tie", "doc_id")
     ordered.select("doc_id", "text").mapInArrow(encode, _SCHEMA).write.option(
         "compression", "none").parquet(f"{folder}/segments")
     spark = docs.sparkSession
