@@ -19,7 +19,6 @@ smallest doc_id among them decides. Sorting is by ranges of the keys, cut at qua
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -179,6 +178,31 @@ def _distinct(columns: list[np.ndarray], bits: list[int] | None = None) -> tuple
     return order[opens], which
 
 
+def _ranked(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values in order, and which of them each value is."""
+    order = np.argsort(packed)
+    values = packed[order]
+    opens = np.ones(len(values), bool)
+    opens[1:] = values[1:] != values[:-1]
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(opens) - 1
+    return values[opens], which
+
+
+def _counted(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values in order, and whether each occurs twice or more: no places, so a plain sort does."""
+    values = np.sort(packed)
+    opens = np.ones(len(values) + 1, bool)
+    opens[1:-1] = values[1:] != values[:-1]
+    return values[opens[:-1]], np.diff(np.flatnonzero(opens)) > 1
+
+
+def _fields(packed: np.ndarray, bits: int, n: int) -> list[np.ndarray]:
+    """The n fields of so many bits that ``_packed`` put together."""
+    mask = np.uint64((1 << bits) - 1)
+    return [(packed >> np.uint64(bits * k)) & mask for k in reversed(range(n))]
+
+
 def _squeeze(columns: list[np.ndarray]) -> bytes:
     """Columns of equal length; the first one is sorted and kept as steps."""
     steps = np.diff(columns[0].astype(np.uint64), prepend=np.uint64(0))
@@ -186,11 +210,15 @@ def _squeeze(columns: list[np.ndarray]) -> bytes:
     for c in (steps, *columns[1:]):
         widths.append(max(1, (int(c.max(initial=0)).bit_length() + 7) // 8))
         planes.append(c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :widths[-1]].T.tobytes())
-    return bytes(widths) + zlib.compress(b"".join(planes), 1)
+    raw = b"".join(planes)
+    head = bytes(widths) + len(raw).to_bytes(8, "little")
+    return head + pa.compress(raw, codec="zstd", asbytes=True) if raw else head
 
 
 def _expand(data: bytes, n: int) -> list[np.ndarray]:
-    widths, raw = data[:n], np.frombuffer(zlib.decompress(data[n:]), np.uint8)
+    widths, length = data[:n], int.from_bytes(data[n:n + 8], "little")
+    raw = pa.decompress(data[n + 8:], length, codec="zstd", asbytes=True) if length else b""
+    raw = np.frombuffer(raw, np.uint8)
     size = len(raw) // sum(widths)
     columns, begin = [], 0
     for width in widths:
@@ -223,21 +251,30 @@ class _Stretches:
             eight = (eight << np.uint64(8 * n)) | _ahead(eight, n)
         return eight[self.sample]
 
-    def nine(self) -> tuple[list[np.ndarray], np.ndarray]:
-        """The different nine bytes from sample positions (three triples, in two numbers), and which each has."""
-        used = np.bincount(self.data, minlength=256) > 0
-        bits = int(used.sum() - 1).bit_length()
-        columns = [self._eight(), self.data[self.sample + 8].astype(np.uint64)]
+    def nine(self, places: bool):
+        """The different nine bytes from sample positions (three triples, in two numbers), and
+        which of them each position has, or, without ``places``, whether each occurs twice."""
+        used = np.flatnonzero(np.bincount(self.data, minlength=256))
+        bits = int(len(used) - 1).bit_length()
         if 9 * bits > 64:
+            columns = [self._eight(), self.data[self.sample + 8].astype(np.uint64)]
             first, which = _distinct(columns)
-        else:  # few different bytes: all nine in one number
-            one = (np.cumsum(used) - 1).astype(np.uint64)[self.data]
-            nine = one
-            for n in (1, 2, 4):
-                nine = (nine << np.uint64(bits * n)) | _ahead(nine, n)
-            nine = (nine << np.uint64(bits)) | _ahead(one, 8)
-            first, which = _distinct([nine[self.sample]], [9 * bits])
-        return [c[first] for c in columns], which
+            return [c[first] for c in columns], which if places else np.bincount(which) > 1
+        # Few different bytes: all nine in one number, built up from 1, 2, 4 and 8 of them.
+        letter = np.zeros(256, np.uint64)
+        letter[used] = np.arange(len(used))
+        one = letter[self.data]
+        nine = one
+        for n in (1, 2, 4):
+            nine = (nine << np.uint64(bits * n)) | _ahead(nine, n)
+        nine = (nine << np.uint64(bits)) | _ahead(one, 8)
+        values, found = (_ranked if places else _counted)(nine[self.sample])
+        letters = [used[f].astype(np.uint64) for f in _fields(values, bits, 9)] if bits else [
+            np.full(len(values), used[0], np.uint64)] * 9
+        high = np.zeros(len(values), np.uint64)
+        for x in letters[:8]:
+            high = (high << np.uint64(8)) | x
+        return [high, letters[8]], found
 
     def ranks(self, places: np.ndarray, which: np.ndarray, names: np.ndarray) -> np.ndarray:
         """For every place one more than the number of its name, 0 where it is settled or has none."""
@@ -245,16 +282,21 @@ class _Stretches:
         full[places] = np.where(names[which] > 0, which + 1, 0)
         return full
 
-    def twenty_seven(self, ranks: np.ndarray, names: np.ndarray):
-        """Sample places with three names not settled, their different names, and which each has."""
+    def twenty_seven(self, ranks: np.ndarray, names: np.ndarray, places: bool):
+        """Sample places with three names not settled, their different names, and as ``nine`` does."""
         at = self.sample[ranks[self.sample] > 0]
         at = at[at < self.n]
         at = at[(ranks[at + 9] > 0) & (ranks[at + 18] > 0)]
         columns = [ranks[at + k] - 1 for k in (0, 9, 18)]
-        first, which = _distinct(columns, [len(names).bit_length()] * 3)
-        return at, [names[c[first]] for c in columns], which
+        bits = len(names).bit_length()
+        packed = _packed(columns, [bits] * 3)
+        if packed is None:
+            first, which = _distinct(columns)
+            return at, [names[c[first]] for c in columns], which if places else np.bincount(which) > 1
+        values, found = (_ranked if places else _counted)(packed)
+        return at, [names[f.astype(np.int64)] for f in _fields(values, bits, 3)], found
 
-    def merged(self, ranks: np.ndarray, names: np.ndarray):
+    def merged(self, ranks: np.ndarray, names: np.ndarray, places: bool = True):
         """Places whose 50 bytes lie in a stretch, once for each shift to the sample whose names
         are not settled; their different keys, and which each has."""
         room = np.repeat(np.cumsum(self.sizes), self.sizes) - np.arange(self.n)
@@ -277,16 +319,23 @@ _STEPS = ("nine", "twenty-seven", "merge")
 
 
 def _round(docs: pa.Table, told: pa.Table):
-    """The step not answered yet with its different keys, or the last with its answer."""
+    """The step not answered yet with its different keys, or the last with its answer.
+
+    Of the first two steps the last thing but one says which keys occur twice, for that is
+    all that asking needs; of the merge it says which key each place has.
+    """
     s = _Stretches(docs)
+    names = answer_names(told, 0)
+    if names is None:
+        return s, 0, *s.nine(False), s.sample
+    _, which = s.nine(True)
     at = s.sample
-    keys, which = s.nine()
-    for step, then in enumerate((s.twenty_seven, s.merged)):
-        names = answer_names(told, step)
-        if names is None:
+    for step, then in ((1, s.twenty_seven), (2, s.merged)):
+        ranks = s.ranks(at, which, names)
+        held, names = names, answer_names(told, step) if step < 2 else None
+        at, keys, which = then(ranks, held, names is not None or step == 2)
+        if names is None or step == 2:
             return s, step, keys, which, at
-        at, keys, which = then(s.ranks(at, which, names), names)
-    return s, 2, keys, which, at
 
 
 def answer_names(told: pa.Table, step: int) -> np.ndarray | None:
@@ -318,7 +367,7 @@ def _ask_names(edges: np.ndarray):
         ranges = np.searchsorted(edges, keys[0], side="right") if step == 0 else keys[0] >> np.uint64(40)
         cuts = np.flatnonzero(np.diff(ranges.astype(np.int64), prepend=-1, append=1 << 40))
         columns = list(keys)
-        twice = np.bincount(which, minlength=len(keys[0])) > 1
+        twice = which if step < 2 else np.bincount(which, minlength=len(keys[0])) > 1
         if step == 2:  # the smallest owner of each string in this unit goes along
             owner = np.repeat(s.owners, s.sizes)[at]
             least = np.full(len(keys[0]), _LAST_ID)
@@ -363,10 +412,10 @@ def _sampled_keys(docs: pa.Table, told: pa.Table) -> pa.Table:
 
 def _later_starts(docs: pa.Table, told: pa.Table) -> pa.Table:
     """Of every stretch, the places whose 50 bytes also start in a smaller doc_id."""
-    s, _, _, which, at = _round(docs, told)
+    s, step, _, which, at = _round(docs, told)
     starts = np.zeros(s.n, bool)
     least = answer_names(told, 2)
-    if least is not None:  # without an answer there was no key left to ask about
+    if least is not None and step == 2:  # without an answer there was no key left to ask about
         owner = np.repeat(s.owners, s.sizes)[at].astype(np.uint64)
         starts[at[least[which] < owner]] = True
     flags = [np.packbits(x).tobytes() for x in np.split(starts, np.cumsum(s.sizes)[:-1])]

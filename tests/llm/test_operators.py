@@ -197,6 +197,24 @@ def test_suffix_rows_are_told_apart_alike_packed_or_not():
     assert suffixes._packed(list(rows), [22, 22, 22]) is None
 
 
+def test_nine_bytes_are_told_apart_alike_with_and_without_places():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    for letters in (1, 3, 90, 250):
+        texts = [rng.integers(1, letters + 1, 300).astype(np.uint8).tobytes() for _ in range(4)]
+        docs = pa.table({"digest": pa.array([bytes([i]) for i in range(4)]), "doc_id": pa.array(range(4)),
+                         "text": pa.array(texts, pa.binary())})
+        unit = suffixes._Stretches(docs)
+        keys, which = unit.nine(True)
+        same, twice = unit.nine(False)
+        assert all((a == b).all() for a, b in zip(keys, same))
+        assert ((np.bincount(which) > 1) == twice).all()
+        data = unit.data.tobytes()
+        for place, k in zip(unit.sample[:200].tolist(), which.tolist()):
+            assert int(keys[0][k]).to_bytes(8, "big") + bytes([int(keys[1][k])]) == data[place:place + 9]
+
+
 def test_anchors_do_not_depend_on_the_strips(monkeypatch):
     rng = np.random.default_rng(5)
     data = rng.integers(97, 100, 5000).astype(np.uint8)
