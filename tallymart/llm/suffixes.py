@@ -184,8 +184,8 @@ def _ranked(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     values = packed[order]
     opens = np.ones(len(values), bool)
     opens[1:] = values[1:] != values[:-1]
-    which = np.empty(len(order), np.int64)
-    which[order] = np.cumsum(opens) - 1
+    which = np.empty(len(order), np.int32)  # a unit has some millions of places
+    which[order] = np.cumsum(opens, dtype=np.int32) - np.int32(1)
     return values[opens], which
 
 
@@ -278,8 +278,9 @@ class _Stretches:
 
     def ranks(self, places: np.ndarray, which: np.ndarray, names: np.ndarray) -> np.ndarray:
         """For every place one more than the number of its name, 0 where it is settled or has none."""
-        full = np.zeros(self.n + 128, np.int64)
-        full[places] = np.where(names[which] > 0, which + 1, 0)
+        full = np.zeros(self.n + 128, np.int32)
+        open_ = names > 0
+        full[places] = (which + 1) * open_[which]
         return full
 
     def twenty_seven(self, ranks: np.ndarray, names: np.ndarray, places: bool):
@@ -311,8 +312,14 @@ class _Stretches:
             parts.append((a, ranks[first] - 1, ranks[first + 21] - 1, left))
         at, one, two, left = (np.concatenate(c) for c in zip(*parts))
         bits = len(names).bit_length()
-        first, which = _distinct([one, two, left], [bits, bits, 18])
-        return at, [names[one[first]], names[two[first]], left[first].astype(np.uint64)], which
+        packed = _packed([one, two, left], [bits, bits, 18])
+        if packed is None:
+            first, which = _distinct([one, two, left])
+            return at, [names[one[first]], names[two[first]], left[first].astype(np.uint64)], which
+        values, which = _ranked(packed)
+        left = values & np.uint64((1 << 18) - 1)
+        one, two = (f.astype(np.int64) for f in _fields(values >> np.uint64(18), bits, 2))
+        return at, [names[one], names[two], left], which
 
 
 _STEPS = ("nine", "twenty-seven", "merge")
