@@ -97,8 +97,8 @@ def timetable(quotas: DataFrame) -> DataFrame:
         F.col("phase").cast("long").alias("phase"))
 
 
-def _numbered(rows: DataFrame, n_docs: int) -> DataFrame:
-    """``rows`` (own, source, key) with place: its number within its source, from 0.
+def _numbered(rows: DataFrame, n_docs: int, own: list[str]) -> DataFrame:
+    """``rows`` (source, id, key and ``own``) with place: its number within its source, from 0.
 
     Rows are numbered in small hash buckets, whatever the source's size, and bucket
     offsets come from counts alone.
@@ -121,7 +121,7 @@ def _numbered(rows: DataFrame, n_docs: int) -> DataFrame:
     order = Window.partitionBy("source", "bucket").orderBy("key", "id")
     return keyed.withColumn("row", F.row_number().over(order) - 1).join(
         offsets, F.col("source").eqNullSafe(F.col("s2")) & (F.col("bucket") == F.col("b2"))).select(
-        "own", "source", (F.col("offset") + F.col("row")).alias("place"))
+        *own, "source", (F.col("offset") + F.col("row")).alias("place"))
 
 
 def mix_sources(docs: DataFrame, weights: DataFrame | None = None, block_docs: int = 16,
@@ -143,9 +143,11 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, block_docs: i
     table_of = timetable(quotas)
     spare = F.coalesce("text", F.lit("")) if "text" in names else F.lit("")
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), spare).cast("binary"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("own"),
+    # Own columns travel under numbers, so that no name can clash and unused ones are left out.
+    own = [f"own_{i}" for i in range(len(names))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(names, own)],
                        "source", F.col("doc_id").alias("id"), key.alias("key"))
-    blocked = _numbered(rows, docs.count()).withColumn("block", F.floor(F.col("place") / block_docs))
+    blocked = _numbered(rows, docs.count(), own).withColumn("block", F.floor(F.col("place") / block_docs))
 
     # One row a source: its quota, and for those of weight zero the slot of their first block.
     blocks = docs.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / block_docs).alias("blocks"))
@@ -165,7 +167,7 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, block_docs: i
     mixed = F.floor(F.col("block") / F.nullif("q", F.lit(0))) * F.col("period") + F.col("phase")
     slot = F.when(F.col("q") > 0, mixed).otherwise(F.col("tail") + F.col("block"))
     return placed.select(
-        *[F.col("own")[c].alias(c) for c in names], "block", slot.alias("slot"),
+        *[F.col(o).alias(c) for c, o in zip(names, own)], "block", slot.alias("slot"),
         F.coalesce(F.col("q") / F.nullif("period", F.lit(0)), F.lit(0.0)).alias("target_weight"),
         (slot * block_docs + F.col("place") % block_docs).alias("mix_order"))
 
