@@ -212,7 +212,7 @@ def _squeeze(columns: list[np.ndarray]) -> bytes:
         planes.append(c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :widths[-1]].T.tobytes())
     raw = b"".join(planes)
     head = bytes(widths) + len(raw).to_bytes(8, "little")
-    return head + pa.compress(raw, codec="zstd", asbytes=True) if raw else head
+    return head + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True) if raw else head
 
 
 def _expand(data: bytes, n: int) -> list[np.ndarray]:
