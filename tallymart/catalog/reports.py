@@ -77,6 +77,7 @@ ENTRIES = {
     "q08b_loss_making_products": (lambda m: overview.loss_making(m, "product_id"), flat(f"""
         SELECT product_id, {REVENUE}, {PROFIT}
         FROM flat GROUP BY product_id HAVING SUM(profit) < 0""")),
+    # Limits and names of the tiers.
     "q09_discount_tiers": (overview.discount_tiers, flat(f"""
         SELECT CASE WHEN discount > 0.20 THEN 'High (21%+)'
                     WHEN discount > 0.10 THEN 'Medium (11-20%)'

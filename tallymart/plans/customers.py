@@ -174,6 +174,7 @@ def rfm_scores(mart: Mart, best_score: int = 1) -> DataFrame:
 def rfm_segments(mart: Mart, best_score: int = 1) -> DataFrame:
     """Q38."""
     r, f, m = F.col("r_score"), F.col("f_score"), F.col("m_score")
+    # Score limits and names of the segments.
     segment = (
         F.when((r >= 4) & (f >= 4) & (m >= 4), "Champions")
         .when((r <= 2) & (f >= 4) & (m >= 4), "At Risk")
