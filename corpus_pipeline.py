@@ -16,16 +16,21 @@ ORACLE_SQL = None
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones have; others go.
 
-    A text without a letter (or null) goes, and one whose letters are clearly odder than
-    those of every learned language's own texts: the machines of op7 always choose one of
-    the learned languages, so their score cannot tell. A close relative of a learned
-    language can pass. If no row has a label there is nothing to judge by, and all stay.
+    The machines of op7 name a text's language, from all labelled rows. They always choose
+    one of the learned languages, so a text without a letter (or null) goes, and one whose
+    letters are clearly odder than those of the named language's own texts. A close relative
+    of a learned language can pass. If no row has a label there is nothing to judge by, and
+    all stay.
     """
     small_batches(spark)
-    profiles = language.fit_profiles(docs)
-    if not profiles.langs:
+    model = language.fit(docs)
+    if not model.members:
         return docs
-    return language.keep_known(docs, profiles)
+    # The operator names its columns lang_pred and score; own ones of that name are kept.
+    own = {c: f"_own_{c}" for c in ("lang_pred", "score") if c in docs.columns}
+    judged = language.identify(docs.withColumnsRenamed(own), model)
+    kept = language.keep_known(judged, language.fit_profiles(docs)).drop("lang_pred", "score")
+    return kept.withColumnsRenamed({there: c for c, there in own.items()})
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

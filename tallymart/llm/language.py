@@ -234,12 +234,13 @@ class Profiles:
     def __init__(self, langs: list[str], costs: np.ndarray, bars: np.ndarray):
         self.langs, self.costs, self.bars = langs, costs, bars
 
-    def knows(self, text: str | None) -> bool:
-        """Whether the text is hardly odder than a language's own texts; False without a letter."""
-        if not has_letter(text):
+    def knows(self, text: str | None, lang: str) -> bool:
+        """Whether the text is hardly odder than that language's own texts; False without a letter."""
+        if lang not in self.langs or not has_letter(text):
             return False
+        at = self.langs.index(lang)
         index, shares, size = _letter_features(text)
-        return bool((self.costs[:, index] @ shares <= self.bars + _slack(size)).any())
+        return bool(self.costs[at, index] @ shares <= self.bars[at] + _slack(size))
 
 
 def _profile(group: pd.DataFrame) -> pd.DataFrame:
@@ -266,10 +267,12 @@ def fit_profiles(docs: DataFrame, rows_per_lang: int = 400) -> Profiles:
     return Profiles([r["lang"] for r in rows], costs, np.array([r["bar"] for r in rows]))
 
 
-def keep_known(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    """Rows of ``docs`` whose text looks like one of the learned languages."""
+def keep_known(judged: DataFrame, profiles: Profiles) -> DataFrame:
+    """Rows of ``identify`` whose text looks like one of the language it was given."""
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([profiles.knows(t.as_py()) for t in batch.column("text")], pa.bool_()))
+            texts, langs = batch.column("text"), batch.column("lang_pred").to_pylist()
+            yield batch.filter(pa.array(
+                [profiles.knows(t.as_py(), lang) for t, lang in zip(texts, langs)], pa.bool_()))
 
-    return docs.mapInArrow(judge, docs.schema)
+    return judged.mapInArrow(judge, judged.schema)
