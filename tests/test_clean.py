@@ -1,6 +1,8 @@
 import pytest
 
 from conftest import rows
+from tallymart.schema import RAW_COLUMNS
+from tallymart.sources.raw_csv import standard_name
 from tallymart.operators import clean
 
 
@@ -102,3 +104,17 @@ def test_malformed_rows_are_counted_whole(raw_of):
     assert dict(rows(clean.drop_report(tagged))) == {
         "malformed row": 2, "missing critical field": 1, "quantity not positive": 1}
     assert "malformed_record" not in clean.good_rows(tagged).columns
+
+
+def test_a_filter_on_the_rule_reads_no_text_again(spark):
+    raw = spark.createDataFrame([tuple("1" for _ in RAW_COLUMNS)], [standard_name(c) for c in RAW_COLUMNS])
+    plan = clean.good_rows(clean.tag_rows(raw))._jdf.queryExecution().optimizedPlan().toString()
+    conditions = [line for line in plan.splitlines() if "Filter" in line]
+    assert conditions and not any("RLIKE" in line or "gettimestamp" in line for line in conditions)
+
+
+def test_trimming_goes_by_the_characters_at_both_ends(spark):
+    texts = ["ab", " a", "a ", " a ", "é", "\x7f", "\x1fa b\t", "", None, " "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in clean.strip_strings(df).collect()]
+    assert got == ["ab", "a", "a", "a", "é", "\x7f", "a b", "", None, ""]
