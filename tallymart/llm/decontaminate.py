@@ -28,6 +28,8 @@ CONTAINMENT = 0.8
 #: Items looked for in one pass over the documents; their hashes take about 20 MB.
 ITEMS_A_PASS = 20_000
 BYTES_A_PASS = 20_000_000
+#: Words whose hashes a task remembers between batches; they take about 13 MB.
+WORDS_KNOWN = 100_000
 _EXACT = 8  # items of up to so many shingles are looked up exactly
 _SMALLEST = 16  # the first partition has items of up to so many shingles; each next twice as many
 
@@ -116,11 +118,13 @@ class ItemIndex:
         # Per hash function a small table of the items' values rules most windows out at once.
         self.tables = {}
         for size, (_, mins) in self.partitions.items():
-            maybe = np.zeros((HASHES, 1 << 16), bool)
+            bits = min(16, 4 + len(mins).bit_length())  # room for 16 times the values or more
+            shift = np.uint64(64 - bits)
+            maybe = np.zeros((HASHES, 1 << bits), bool)
             for j in range(HASHES):
-                maybe[j, mins[:, j] >> np.uint64(48)] = True
+                maybe[j, mins[:, j] >> shift] = True
             places = [np.argsort(mins[:, j], kind="stable") for j in range(HASHES)]
-            self.tables[size] = maybe, places, [mins[p, j] for j, p in enumerate(places)]
+            self.tables[size] = maybe, shift, places, [mins[p, j] for j, p in enumerate(places)]
         self.short_sizes = sorted({n for rows in self.short.values() for _, n in rows})
 
     def candidates(self, hashes: list[np.ndarray]) -> set[tuple[int, object]]:
@@ -153,10 +157,10 @@ class ItemIndex:
                 owner, place, step = owner[even], place[even] // 2, step * 2
             # Two neighbouring blocks are a window; what is least in it is so in a block.
             window = self._with_next(mins, owner)
-            maybe, places, values = self.tables[size]
+            maybe, shift, places, values = self.tables[size]
             items = self.partitions[size][0]
             for j in range(HASHES):
-                for w in np.flatnonzero(maybe[j][window[j] >> np.uint64(48)]):
+                for w in np.flatnonzero(maybe[j][window[j] >> shift]):
                     at = np.searchsorted(values[j], window[j, w])
                     while at < len(values[j]) and values[j][at] == window[j, w]:
                         found.add((int(owner[w]), items[places[j][at]]))
@@ -181,7 +185,7 @@ def _search(index: ItemIndex):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
         for ids, texts in text_rows(batches):
-            if len(known) > 1_000_000:
+            if len(known) > WORDS_KNOWN:
                 known = _WordHashes()
             words = [words_of(t) for t in texts]
             none = np.zeros(0, np.uint64)

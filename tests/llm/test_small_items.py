@@ -29,3 +29,16 @@ def test_items_just_above_a_shingle_are_found_in_long_texts(spark):
     got = {(r[0], r[1]): (r[2], r[3]) for r in found.collect()}
     assert got == brute.containment(docs, items)
     assert len(got) >= 1200
+
+
+def test_few_items_take_a_small_table():
+    rng = random.Random(7)
+    items = [(n, " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(30))) for n in range(20)]
+    index = decontaminate.ItemIndex(items, 0.8)
+    # 64 tables for 20 items; each once had 65,536 places.
+    assert all(table[0].size <= decontaminate.HASHES * 1024 for table in index.tables.values())
+    # No value of an item is ruled out by its table.
+    for size, (_, mins) in index.partitions.items():
+        maybe, shift = index.tables[size][:2]
+        assert all(maybe[j][mins[:, j] >> shift].all() for j in range(decontaminate.HASHES))
+    assert decontaminate.WORDS_KNOWN <= 100_000
