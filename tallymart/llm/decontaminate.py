@@ -30,6 +30,8 @@ ITEMS_A_PASS = 20_000
 BYTES_A_PASS = 20_000_000
 #: Words whose hashes a task remembers between batches; they take about 13 MB.
 WORDS_KNOWN = 100_000
+#: Bytes of text that a task looks through at once; words and min-hashes take some 30 times that.
+TEXT_AT_ONCE = 1_000_000
 _EXACT = 8  # items of up to so many shingles are looked up exactly
 _SMALLEST = 16  # the first partition has items of up to so many shingles; each next twice as many
 
@@ -40,6 +42,8 @@ _FOLD = bytes.maketrans(UPPER.encode() + _PARTS, LOWER.encode() + b" " * len(_PA
 _RANDOM = np.random.default_rng(8)
 _TIMES = _RANDOM.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _RANDOM.integers(1, 1 << 63, HASHES, dtype=np.uint64)
+# What is least begins with zeros: times this, its first bits tell values apart as well as its last.
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _WORD_TIMES = _RANDOM.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -112,7 +116,7 @@ class ItemIndex:
                 size *= 2
             sized.setdefault(size, []).append((item_id, (hashes[:, None] * _TIMES + _PLUS).min(axis=0)))
         for size, rows in sized.items():
-            self.partitions[size] = ([r[0] for r in rows], np.stack([r[1] for r in rows]))
+            self.partitions[size] = ([r[0] for r in rows], np.stack([r[1] for r in rows]) * _SPREAD)
         self.sizes = sorted(self.partitions)
         self.few_hashes = np.array(sorted(self.few), np.uint64)
         # Per hash function a small table of the items' values rules most windows out at once.
@@ -156,15 +160,16 @@ class ItemIndex:
                 mins = self._with_next(mins, owner)[:, even]
                 owner, place, step = owner[even], place[even] // 2, step * 2
             # Two neighbouring blocks are a window; what is least in it is so in a block.
-            window = self._with_next(mins, owner)
+            window = self._with_next(mins, owner) * _SPREAD
             maybe, shift, places, values = self.tables[size]
             items = self.partitions[size][0]
             for j in range(HASHES):
-                for w in np.flatnonzero(maybe[j][window[j] >> shift]):
-                    at = np.searchsorted(values[j], window[j, w])
-                    while at < len(values[j]) and values[j][at] == window[j, w]:
-                        found.add((int(owner[w]), items[places[j][at]]))
-                        at += 1
+                kept = np.flatnonzero(maybe[j][window[j] >> shift])
+                first = np.searchsorted(values[j], window[j, kept])
+                n = np.searchsorted(values[j], window[j, kept], side="right") - first
+                texts = np.repeat(owner[kept], n)
+                same = places[j][runs_between(first, n)]
+                found.update((text, items[i]) for text, i in set(zip(texts.tolist(), same.tolist())))
         return found
 
     @staticmethod
@@ -184,7 +189,7 @@ class ItemIndex:
 def _search(index: ItemIndex):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
-        for ids, texts in text_rows(batches):
+        for ids, texts in text_rows(batches, TEXT_AT_ONCE):
             if len(known) > WORDS_KNOWN:
                 known = _WordHashes()
             words = [words_of(t) for t in texts]

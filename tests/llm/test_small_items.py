@@ -6,6 +6,8 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+import numpy as np  # noqa: E402
+
 import brute  # noqa: E402
 from tallymart.llm import decontaminate  # noqa: E402
 
@@ -42,3 +44,20 @@ def test_few_items_take_a_small_table():
         maybe, shift = index.tables[size][:2]
         assert all(maybe[j][mins[:, j] >> shift].all() for j in range(decontaminate.HASHES))
     assert decontaminate.WORDS_KNOWN <= 100_000
+
+
+def test_least_values_of_large_windows_are_told_apart():
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"w{rng.randrange(10 ** 7)}" for _ in range(n))
+    items = [(n, text(30 << n % 5)) for n in range(100)]
+    index = decontaminate.ItemIndex(items, 0.8)
+    known = decontaminate._WordHashes()
+    windows = [decontaminate._hashes(decontaminate.words_of(text(1500).encode()), known) for _ in range(30)]
+    for size in index.sizes:
+        maybe, shift = index.tables[size][:2]
+        least = np.stack([(h[:2 * size, None] * decontaminate._TIMES + decontaminate._PLUS).min(axis=0) for h in windows])
+        passed = np.mean([maybe[j][(least[:, j] * decontaminate._SPREAD) >> shift] for j in range(decontaminate.HASHES)])
+        assert passed < 0.1  # by their first bits alone 0.49 to 0.99 passed
+    assert not index.candidates(windows)
+    held = [decontaminate._hashes(decontaminate.words_of(f"{text(200)} {t} {text(200)}".encode()), known) for _, t in items]
+    assert {(n, n) for n in range(100)} <= index.candidates(held)
