@@ -185,15 +185,18 @@ def _by_year(m: StarMart) -> Mart:
 
 
 def _profile(mart: Mart) -> DataFrame:
-    """Of every column of all eight tables: values that are there, and different ones."""
+    """Of every column of all eight tables: values that are there, and different ones.
+
+    A column at a time: different values of several columns counted in one pass would lie in
+    one table of a task, as many wide rows as the columns together have values.
+    """
     parts = []
     for table, schema in TABLES.items():
-        facts = mart.tables[table].agg(*[F.struct(
-            F.count(c).alias("n"), F.count_distinct(c).alias("n_distinct")).alias(c) for c in schema.names])
-        cells = [F.struct(F.lit(table).alias("table_name"), F.lit(c).alias("column_name"),
-                          F.col(f"{c}.n").alias("n"), F.col(f"{c}.n_distinct").alias("n_distinct"))
-                 for c in schema.names]
-        parts.append(facts.select(F.inline(F.array(*cells))))
+        for c in schema.names:
+            values = mart.tables[table].groupBy(c).agg(F.count(c).alias("copies"))
+            parts.append(values.agg(
+                F.coalesce(F.sum("copies"), F.lit(0)).alias("n"), F.count(c).alias("n_distinct")).select(
+                F.lit(table).alias("table_name"), F.lit(c).alias("column_name"), "n", "n_distinct"))
     return reduce(DataFrame.unionByName, parts)
 
 
