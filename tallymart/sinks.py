@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from tallymart.operators import clean as cleaning
 from tallymart.operators.mart import Mart
@@ -40,16 +40,18 @@ def write_tables(mart: Mart, folder: str, fmt: str = "parquet") -> dict[str, int
 def write_by_year(mart: Mart, folder: str) -> None:
     """SNK1, with orders and sales in a folder per order year; ``load_by_year`` reads them.
 
-    A sale carries the year of its order, so a filter on order dates skips files of both.
+    A sale carries the year of its order, so a filter on order dates skips files of both. It
+    is looked up in the written orders: what the orders come from is not run again for it.
     """
-    years = mart.tables["orders"].withColumn("order_year", F.year("order_date"))
     for name in LOAD_ORDER:
         rows = _contract(mart.tables[name], name)
         if name == "orders":
             rows = rows.withColumn("order_year", F.year("order_date"))
         elif name == "sales":
-            rows = rows.join(years.select("order_id", "order_year"), "order_id", "left").select(
-                *rows.columns, "order_year")
+            years = rows.sparkSession.read.schema(T.StructType([
+                TABLES["orders"]["order_id"], T.StructField("order_year", T.IntegerType())])).parquet(
+                f"{folder}/orders.parquet")
+            rows = rows.join(years, "order_id", "left").select(*rows.columns, "order_year")
         if name in ("orders", "sales"):
             # A year goes to several tasks, so that no task has all of a busy one.
             rows = rows.repartition("order_year", F.pmod(F.xxhash64("order_id"), F.lit(16)))
