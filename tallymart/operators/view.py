@@ -11,11 +11,18 @@ from tallymart.operators.mart import REACHED, Mart, derived
 
 
 def analytics_view(mart: Mart) -> DataFrame:
-    """One row per sale with every dimension attribute; unmatched keys stay, as NULLs."""
-    df = mart.tables["sales"]
+    """One row per sale with every dimension attribute; unmatched keys stay, as NULLs.
+
+    Tables meet the one they are reached from before that meets the sales, which are many
+    more: products first, as sales are then still narrow when they go on to their orders.
+    """
+    whole, names = dict(mart.tables), mart.tables["sales"].columns
     for table, (_, key) in REACHED.items():
-        df = df.join(mart.tables[table], key, "left")
-    return add_profit_margin(add_time_features(df))
+        names = [key, *(c for c in [*names, *mart.tables[table].columns] if c != key)]
+    for table in reversed(REACHED):
+        parent, key = REACHED[table]
+        whole[parent] = whole[parent].join(whole[table], key, "left")
+    return add_profit_margin(add_time_features(whole["sales"].select(*names)))
 
 
 def add_time_features(df: DataFrame) -> DataFrame:
