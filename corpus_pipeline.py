@@ -27,9 +27,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     if not model.members:
         return docs
     # The operator names its columns lang_pred and score; own ones of that name are kept.
-    own = {c: f"_own_{c}" for c in ("lang_pred", "score") if c in docs.columns}
+    own = {c: f"_own_{c}" for c in ("lang_pred", "score", "lang_known") if c in docs.columns}
+    model.profiles = language.fit_profiles(docs)
     judged = language.identify(docs.withColumnsRenamed(own), model)
-    kept = language.keep_known(judged, language.fit_profiles(docs)).drop("lang_pred", "score")
+    kept = language.keep_known(judged).drop("lang_pred", "score")
     return kept.withColumnsRenamed({there: c for c, there in own.items()})
 
 

@@ -87,6 +87,7 @@ class LanguageModel:
     def __init__(self, langs: list[str], families: dict[str, np.ndarray],
                  pairs: dict[tuple[str, str], np.ndarray]):
         self.families, self.pairs = families, pairs
+        self.profiles: Profiles | None = None
         self.members: dict[str, list[str]] = {}
         for lang in sorted(langs):
             self.members.setdefault(family_of(lang), []).append(lang)
@@ -190,21 +191,26 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """All columns of ``docs`` with lang_pred and score (0 to 1).
 
     A text that is null or has no letter gets ``und`` and 0, and so does every text if
-    nothing was learned. Own columns named lang_pred or score are replaced.
+    nothing was learned. Own columns named lang_pred or score are replaced. A model with
+    profiles also gives lang_known, the languages whose own texts are hardly less odd: a
+    second Python step over the same texts would take a second worker for every task.
     """
-    docs = docs.drop("lang_pred", "score")
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    if model.profiles:
+        added.append(T.StructField("lang_known", T.ArrayType(T.StringType())))
+    docs = docs.drop(*[f.name for f in added])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.predict(t.as_py()) for t in batch.column("text")]
+            texts = batch.column("text")
+            found = [model.predict(t.as_py()) for t in texts]
+            columns = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
+            if model.profiles:
+                columns.append(pa.array([model.profiles.known(t.as_py()) for t in texts], pa.list_(pa.string())))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([x for x, _ in found], pa.string()),
-                 pa.array([x for _, x in found], pa.float64())],
-                [*batch.schema.names, "lang_pred", "score"])
+                [*batch.columns, *columns], [*batch.schema.names, *[f.name for f in added]])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()),
-                           T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(judge, schema)
+    return docs.mapInArrow(judge, T.StructType([*docs.schema.fields, *added]))
 
 
 _LEEWAY = 1.0
@@ -234,13 +240,14 @@ class Profiles:
     def __init__(self, langs: list[str], costs: np.ndarray, bars: np.ndarray):
         self.langs, self.costs, self.bars = langs, costs, bars
 
-    def knows(self, text: str | None, lang: str) -> bool:
-        """Whether the text is hardly odder than that language's own texts; False without a letter."""
-        if lang not in self.langs or not has_letter(text):
-            return False
-        at = self.langs.index(lang)
+    def known(self, text: str | None) -> list[str]:
+        """The languages whose own texts are hardly less odd than the text; none without a letter."""
+        if not has_letter(text):
+            return []
         index, shares, size = _letter_features(text)
-        return bool(self.costs[at, index] @ shares <= self.bars[at] + _slack(size))
+        slack = _slack(size)
+        return [lang for lang, costs, bar in zip(self.langs, self.costs, self.bars)
+                if costs[index] @ shares <= bar + slack]
 
 
 def _profile(group: pd.DataFrame) -> pd.DataFrame:
@@ -267,12 +274,6 @@ def fit_profiles(docs: DataFrame, rows_per_lang: int = 400) -> Profiles:
     return Profiles([r["lang"] for r in rows], costs, np.array([r["bar"] for r in rows]))
 
 
-def keep_known(judged: DataFrame, profiles: Profiles) -> DataFrame:
-    """Rows of ``identify`` whose text looks like one of the language it was given."""
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, langs = batch.column("text"), batch.column("lang_pred").to_pylist()
-            yield batch.filter(pa.array(
-                [profiles.knows(t.as_py(), lang) for t, lang in zip(texts, langs)], pa.bool_()))
-
-    return judged.mapInArrow(judge, judged.schema)
+def keep_known(judged: DataFrame) -> DataFrame:
+    """Rows of ``identify`` by a model with profiles whose text looks like one of the language it was given."""
+    return judged.where(F.array_contains("lang_known", F.col("lang_pred"))).drop("lang_known")

@@ -47,3 +47,13 @@ def test_the_stage_goes_by_the_language_that_the_operator_names(spark, monkeypat
     monkeypatch.setattr(language, "identify", misled)
     kept = corpus_pipeline.identify_language(spark, docs, "")
     assert sorted(r[0] for r in kept.collect()) == [n for n in range(60) if n not in (4, 7)]
+
+
+def test_the_stage_reads_its_texts_in_one_python_step(spark):
+    # Two of them in one stage would be two workers for every task, all of which stay in memory.
+    rows = [(2 * n + k, text, lang, ["own"]) for n in range(30)
+            for k, (lang, text) in enumerate(WORDS.items())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_known array<string>")
+    kept = corpus_pipeline.identify_language(spark, docs, "")
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(tuple, kept.collect())) == rows
