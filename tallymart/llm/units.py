@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallymart.session import new_scratch_path, stash
+from tallymart.session import new_scratch_path, shuffles_removed, stash
 
 #: The least size of a unit and of what one key range answers for.
 UNIT_BYTES = 8_000_000
@@ -58,9 +58,11 @@ class Units:
         shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
         partitions = min(self.count, max(shuffled, -(-size // BUCKET_BYTES)))
         name = f"text_units_{uuid.uuid4().hex}"
-        texts.withColumn("unit", self.unit_of()).repartition(partitions, "unit").write.option(
+        writer = texts.withColumn("unit", self.unit_of()).repartition(partitions, "unit").write.option(
             "path", new_scratch_path(spark, "units")).option("compression", "zstd").bucketBy(
-            partitions, "unit").sortBy("unit").saveAsTable(name)
+            partitions, "unit").sortBy("unit")
+        with shuffles_removed(spark):
+            writer.saveAsTable(name)
         self.table = spark.table(name)
 
     def columns(self, docs: DataFrame) -> DataFrame:
