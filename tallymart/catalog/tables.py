@@ -50,7 +50,9 @@ def _locations(lines: DataFrame) -> DataFrame:
 
 
 def _sub_categories(lines: DataFrame) -> DataFrame:
-    return normalize.sub_categories(lines, normalize.categories(lines))
+    """Both tables of names need no more of the lines than the first row of each pair."""
+    pairs = stash(normalize.first_rows(lines, "sub_category", "category"), "pairs")
+    return normalize.sub_categories(pairs, normalize.categories(pairs))
 
 
 def _products(lines: DataFrame) -> DataFrame:
@@ -284,11 +286,11 @@ ENTRIES = {
     "nrm1_regions": (lambda m: normalize.regions(_cleaned(m)), dirty("SELECT * FROM n_regions")),
     "nrm2_locations": (lambda m: _locations(_cleaned(m)), dirty("SELECT * FROM n_locations")),
     "nrm3_customers": (
-        lambda m: normalize.customers(_cleaned(m)), dirty("SELECT * FROM n_customers")),
+        lambda m: normalize.customers(clean.clean(_raw(m))), dirty("SELECT * FROM n_customers")),
     "nrm4_categories": (
         lambda m: normalize.categories(_cleaned(m)), dirty("SELECT * FROM n_categories")),
     "nrm5_sub_categories": (
-        lambda m: _sub_categories(_cleaned(m)), dirty("SELECT * FROM n_sub_categories")),
+        lambda m: _sub_categories(clean.clean(_raw(m))), dirty("SELECT * FROM n_sub_categories")),
     "nrm6_products": (lambda m: _products(_cleaned(m)), dirty("SELECT * FROM n_products")),
     "nrm7_orders": (lambda m: _orders(_cleaned(m)), dirty("SELECT * FROM n_orders")),
     "nrm8_sales": (lambda m: normalize.sales(_cleaned(m)), dirty("SELECT * FROM n_sales")),

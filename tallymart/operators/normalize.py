@@ -22,13 +22,14 @@ def _row() -> Column:
     return F.coalesce("row_id", F.lit(_LAST))
 
 
-def _first_rows(lines: DataFrame, *columns: str) -> DataFrame:
+def first_rows(lines: DataFrame, *columns: str) -> DataFrame:
+    """The different values with the row_id of their first row."""
     return lines.groupBy(*columns).agg(F.min(_row()).alias("row_id"))
 
 
 def _numbered(lines: DataFrame, columns: list[str], name: str) -> DataFrame:
     """Distinct values, numbered from 1 in order of first appearance."""
-    numbered = dense_ids(_first_rows(lines, *columns), name, "row_id", *columns)
+    numbered = dense_ids(first_rows(lines, *columns), name, "row_id", *columns)
     return numbered.withColumn(name, F.col(name).cast("int")).drop("row_id")
 
 
@@ -115,8 +116,8 @@ def normalise(cleaned: DataFrame, check: bool = True, stored: bool = False) -> M
     lines = cleaned if stored else stash(cleaned, "cleaned")
     # The first row of each place and of each category pair is found once; the
     # four tables of names need no more of the lines than that.
-    places = stash(_first_rows(lines, "city", "state", "postal_code", "region"), "places")
-    pairs = stash(_first_rows(lines, "sub_category", "category"), "pairs")
+    places = stash(first_rows(lines, "city", "state", "postal_code", "region"), "places")
+    pairs = stash(first_rows(lines, "sub_category", "category"), "pairs")
     region_table, category_table = regions(places), categories(pairs)
     location_table = locations(places, region_table)
     subcategory_table = sub_categories(pairs, category_table)
