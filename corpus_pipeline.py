@@ -11,6 +11,8 @@ from tallymart.session import scratch_scope
 
 #: No stage's work can be said in SQL as a whole (machines, hashes with a seed, a tokenizer).
 ORACLE_SQL = None
+#: Text that a task of the last stage encodes at a time: executors still hold what the other stages needed.
+PIECE_BYTES = 3_000_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +61,7 @@ def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Token files in the order of the mixture; what is returned is read back from them."""
     files = new_scratch_path(spark, "tokens")
     order = "mix_order" if "mix_order" in docs.columns else "doc_id"
-    tokens.write_tokens(docs, files, tokenizer_path(), order_by=order)
+    tokens.write_tokens(docs, files, tokenizer_path(), order_by=order, piece_bytes=PIECE_BYTES)
     return tokens.read_documents(spark, files)
 
 

@@ -78,7 +78,8 @@ def fit_machine(x: np.ndarray, y: np.ndarray, rounds: int = 300, penalty: float
         moved = ahead - step * (penalty * ahead - 2.0 * weight * y * slack)
         ahead = moved + k / (k + 3.0) * (moved - c)
         c = moved
-    return x.T.astype(np.float64) @ c
+    # Some columns at a time: a whole copy in double precision is the largest thing in memory.
+    return np.concatenate([x[:, i:i + 512].T.astype(np.float64) @ c for i in range(0, x.shape[1], 512)])
 
 
 class LanguageModel:

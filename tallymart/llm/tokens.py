@@ -226,19 +226,21 @@ def _pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
-                 order_by: str = "doc_id", segment_ids: int = SEGMENT_IDS) -> None:
+                 order_by: str = "doc_id", segment_ids: int = SEGMENT_IDS,
+                 piece_bytes: int = PIECE_BYTES) -> None:
     """Encode every text, append ``end_id``, and write the documents in ``order_by`` order.
 
     A null text is empty, a very long one is encoded whole. Nulls in ``order_by`` come
     first, ties in any order that is the same for ids and boundaries; repeated rows are
     documents of their own. An empty table writes empty tables. Other columns are not
     written, and may have any name. ``tokenizer`` is a file that every executor can read.
+    A task encodes ``piece_bytes`` of text at a time; less takes less memory and more time.
     """
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordwiseEncoder.of_worker(tokenizer)
         width = 2 if max(len(encoder.opens) - 1, end_id) < 1 << 16 else 4
         part, seq, held = TaskContext.get().partitionId(), 0, []
-        for piece in _pieces(batches, PIECE_BYTES):
+        for piece in _pieces(batches, piece_bytes):
             ids, ends = encoder.encode(piece.column("text").chunk(0))
             numbers = piece.column("doc_id").fill_null(_NO_ID).to_numpy()
             held.append((numbers, np.insert(ids, ends, end_id).astype(f"u{width}"),
