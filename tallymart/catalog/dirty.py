@@ -6,9 +6,12 @@ wrong with it (fixed values below), so each rule has work on the whole table.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tallymart.plans.ordered import OrderedBlocks
+from tallymart.session import slice_of, slices_of, stash
 from tallymart.sources.raw_csv import standard_name
 from tallymart.schema import RAW_COLUMNS
 from tallymart.sources.star import StarMart
@@ -24,17 +27,21 @@ _LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "
 NAMES = tuple(standard_name(c) for c in RAW_COLUMNS)
 
 
-def _numbered(lines: DataFrame) -> DataFrame:
+def _lines_before(lines: DataFrame) -> DataFrame:
+    """How many lines the orders before each order have. Only the orders' sizes are put in order."""
+    sizes = lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("_size"))
+    return OrderedBlocks(sizes, "l_orderkey").running_sums(_end="_size").select(
+        "l_orderkey", (F.col("_end") - F.col("_size")).alias("_before"))
+
+
+def _numbered(lines: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """Line items numbered 1..n by all of their columns, ``n``.
 
     The order begins with the order's key, so a line's number is its place among the lines of
-    its order after those of the orders before. Only the orders' sizes are put in order; the
-    lines stay where the join with their orders needs them. Lines of no order count, but join
-    with none.
+    its order after those of the orders before. The lines stay where the join with their orders
+    needs them. Lines of no order count, but join with none.
     """
-    sizes = lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("_size"))
-    before = OrderedBlocks(sizes, "l_orderkey").running_sums(_end="_size").select(
-        "l_orderkey", (F.col("_end") - F.col("_size")).alias("_before"))
+    before = _lines_before(lines) if before is None else before
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_LINE[1:]))
     placed = lines.where("l_orderkey IS NOT NULL").withColumn("_place", place)
     return placed.join(before, "l_orderkey").withColumn("n", F.col("_before") + F.col("_place"))
@@ -42,14 +49,32 @@ def _numbered(lines: DataFrame) -> DataFrame:
 
 def raw_text(m: StarMart) -> DataFrame:
     """The raw rows, already under standard names."""
+    lines = m.raw("lineitem").select(*_LINE)
+    return _text(m, m.raw("orders"), _numbered(lines))
+
+
+def raw_slices(m: StarMart) -> Iterator[DataFrame]:
+    """The rows of ``raw_text``, some orders at a time, for writers that need no more at once."""
+    lines = m.raw("lineitem").select(*_LINE)
+    slices = slices_of(m.raw("lineitem"))
+    if slices == 1:
+        yield raw_text(m)
+        return
+    before = stash(_lines_before(lines), "lines-before", "zstd")
+    for i in range(slices):
+        own = slice_of(slices, F.col("l_orderkey").cast("bigint")) == i
+        ordered = m.raw("orders").where(slice_of(slices, F.col("o_orderkey").cast("bigint")) == i)
+        yield _text(m, ordered, _numbered(lines.where(own), before.where(own)))
+
+
+def _text(m: StarMart, ordered: DataFrame, numbered: DataFrame) -> DataFrame:
     # Customers meet their orders before the lines do: lines are many more.
     orders = (
-        m.raw("orders").join(m.raw("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        ordered.join(m.raw("customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(m.raw("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(m.raw("region"), F.col("n_regionkey") == F.col("r_regionkey")))
     joined = (
-        _numbered(m.raw("lineitem").select(*_LINE))
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        numbered.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(m.raw("part"), F.col("l_partkey") == F.col("p_partkey")))
     tax = F.round(F.col("l_tax") * 100).cast("int")
     price = F.col("l_extendedprice") * (1 - F.col("l_discount"))

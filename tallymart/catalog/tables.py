@@ -11,29 +11,34 @@ from tallymart import sinks
 from tallymart.catalog.base_sql import tables
 from tallymart.catalog.charts import FILTER, PASSES, _filtered
 from tallymart.catalog.base_sql import flat
-from tallymart.catalog.dirty import NAMES, dirty, raw_text
+from tallymart.catalog.dirty import NAMES, dirty, raw_slices, raw_text
 from tallymart.operators import clean, normalize, quality
 from tallymart.operators.mart import Mart
 from tallymart.operators.view import filter_view
 from tallymart.schema import FOREIGN_KEYS, LOAD_ORDER, PRIMARY_KEYS, RAW_COLUMNS, TABLES, UNIQUE_KEYS
-from tallymart.session import new_scratch_path, stash
+from tallymart.session import new_scratch_path, scratch_scope, stash, stash_in_turn, write_in_turn
 from tallymart.sources.raw_csv import load_raw, standardize_column_names
 from tallymart.sources.star import StarMart
 from tallymart.sources.tables import catalog_tables, first_available, load_by_year, load_tables
 
 
+def _as_read(text: DataFrame) -> DataFrame:
+    """Missing tokens as NULL, as the CSV reader gives them."""
+    return text.withColumn("postal_code", F.when(F.col("postal_code") != "", F.col("postal_code")))
+
+
 def _raw(m: StarMart) -> DataFrame:
-    """Raw rows with missing tokens as NULL, as the CSV reader gives them."""
-    return raw_text(m).withColumn(
-        "postal_code", F.when(F.col("postal_code") != "", F.col("postal_code")))
+    """Raw rows with missing tokens as NULL."""
+    return _as_read(raw_text(m))
 
 
 def _raw_file(m: StarMart) -> str:
     """The raw rows as a CSV file under the original header, a compressed part a task."""
     path = new_scratch_path(m.raw("region").sparkSession, "raw-csv")
-    raw_text(m).toDF(*RAW_COLUMNS).write.options(
+    write_in_turn(
+        (rows.toDF(*RAW_COLUMNS) for rows in raw_slices(m)), path, "csv",
         header=True, escape='"', encoding="ISO-8859-1", ignoreTrailingWhiteSpace=False,
-        ignoreLeadingWhiteSpace=False, compression="gzip").csv(path)
+        ignoreLeadingWhiteSpace=False, compression="gzip")
     return path
 
 
@@ -45,6 +50,15 @@ def _cleaned(m: StarMart) -> DataFrame:
     return stash(clean.clean(_raw(m)), "cleaned")
 
 
+def _without_copies(m: StarMart) -> DataFrame:
+    """CLN1 and CLN2, a slice of the rows at a time."""
+    spark = m.raw("region").sparkSession
+    with scratch_scope(spark, keep="merged"):
+        stripped = (clean.strip_strings(_as_read(rows)) for rows in raw_slices(m))
+        merged = map(clean.drop_duplicates, clean.copies_together(spark, stripped, "stripped"))
+        return stash_in_turn(spark, merged, "merged")
+
+
 def _locations(lines: DataFrame) -> DataFrame:
     return normalize.locations(lines, normalize.regions(lines))
 
@@ -261,8 +275,7 @@ ENTRIES = {
     "cln1_strip": (
         lambda m: clean.strip_strings(_raw(m)), dirty(f"SELECT {', '.join(NAMES)} FROM stripped")),
     "cln2_drop_duplicates": (
-        lambda m: clean.drop_duplicates(clean.strip_strings(_raw(m))),
-        dirty("SELECT * FROM merged")),
+        _without_copies, dirty("SELECT * FROM merged")),
     "cln3_cln4_cast": (
         lambda m: clean.cast_types(_raw(m)).select(
             "row_id", "order_date", "ship_date", "sales", "quantity", "discount", "profit"),

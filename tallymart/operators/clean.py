@@ -7,14 +7,18 @@ the cleaned rows and the report of drops come from one pass.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterable, Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallymart.schema import MALFORMED, MONEY, RATE
+from tallymart.session import slice_of, slices_of, stash_in_turn
 
 CRITICAL = ("order_date", "ship_date", "sales", "quantity", "customer_id", "product_id")
 RULES = ("duplicate row", "missing critical field", "ship_date < order_date",
          "discount outside [0, 1]", "quantity not positive", "out of range", "malformed row")
 COPIES, BROKEN = "extra_copies", "broken_rule"
+_SPREAD, _SPREADS = "_spread", 1024
 
 # Plain decimal notation, or an infinity. A cast would also read 0.1d, 2f and 0x1p-3.
 _PLAIN = r"^[ \t]*[+-]?(([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))[ \t]*$"
@@ -52,6 +56,21 @@ def drop_duplicates(df: DataFrame) -> DataFrame:
     return kept.select(*df.columns, COPIES)
 
 
+def copies_together(spark: SparkSession, parts: Iterable[DataFrame], label: str, *added: str) -> Iterator[DataFrame]:
+    """The rows of all parts, written once, then a slice at a time; copies of a row share a slice.
+
+    To merge copies every row is shuffled as wide as it is: of one slice at a time, that lies on
+    disk with what it spills. ``added`` columns follow from the others.
+    """
+    spread = (part.withColumn(_SPREAD, slice_of(_SPREADS, *[
+        c for c in part.columns if c not in ("row_id", *added)]).cast("smallint")) for part in parts)
+    stored = stash_in_turn(spark, spread, label)
+    slices = min(_SPREADS, slices_of(stored))
+    edges = [_SPREADS * i // slices for i in range(slices + 1)]
+    for low, high in zip(edges, edges[1:]):
+        yield stored.where((F.col(_SPREAD) >= low) & (F.col(_SPREAD) < high)).drop(_SPREAD)
+
+
 def _date(column: str) -> Column:
     # Without a slash it is no date; failing to read one is slow.
     return F.when(F.col(column).contains("/"), F.try_to_date(F.col(column), "M/d/yyyy"))
@@ -124,8 +143,8 @@ def _broken_rule() -> Column:
         .when(too_large, RULES[5]))
 
 
-def tag_rows(raw: DataFrame) -> DataFrame:
-    """All steps; every distinct row is still there, with its ``broken_rule``.
+def judge_rows(raw: DataFrame) -> DataFrame:
+    """Stripped rows, copies among them, with their ``broken_rule``.
 
     A row that came with its text in ``malformed_record`` breaks the rule "malformed row",
     whatever its fields seem to say.
@@ -133,11 +152,20 @@ def tag_rows(raw: DataFrame) -> DataFrame:
     rule = _broken_rule()
     if MALFORMED in raw.columns:
         rule = F.when(F.col(MALFORMED).isNotNull(), RULES[6]).otherwise(rule)
+    return _with_values(strip_strings(raw)).withColumn(BROKEN, rule).drop("_read")
+
+
+def merge_judged(judged: DataFrame) -> DataFrame:
+    """The different rows of ``judge_rows``, with their copies counted, as typed."""
+    columns = [c for c in judged.columns if c != BROKEN]
+    return fill_postal_code(cast_types(drop_duplicates(judged).select(*columns, COPIES, BROKEN)))
+
+
+def tag_rows(raw: DataFrame) -> DataFrame:
+    """All steps; every distinct row is still there, with its ``broken_rule``."""
     # Copies break the same rule, so it is judged before they are merged: a filter on it
     # then spares the rows it drops the shuffle.
-    judged = _with_values(strip_strings(raw)).withColumn(BROKEN, rule).drop("_read")
-    texts = drop_duplicates(judged).select(*raw.columns, COPIES, BROKEN)
-    return fill_postal_code(cast_types(texts))
+    return merge_judged(judge_rows(raw))
 
 
 def good_rows(tagged: DataFrame) -> DataFrame:
