@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from tallymart import session
+from tallymart import session, sinks
 from tallymart.catalog import dirty, tables
 from tallymart.operators import clean
 from tallymart.session import scratch_dir, scratch_scope
@@ -98,6 +98,41 @@ def test_copies_are_merged_a_slice_at_a_time(spark, star, monkeypatch):
     assert all(name.startswith("merged-") for name in _scratch(spark) - lie if not name.startswith("."))
 
 
+def test_the_pipeline_merges_a_slice_at_a_time(spark, star, monkeypatch, tmp_path):
+    with scratch_scope(spark):
+        raw = tables._raw_file(star)
+        whole = sinks.run_pipeline(spark, raw, str(tmp_path / "whole"))
+        tagged = clean.tag_rows(tables._raw(star))
+        assert dict(rows(whole.drops)) == dict(rows(clean.drop_report(tagged)))
+        _in_slices(monkeypatch, star, 3)
+        written, in_turn = [], sinks.stash_in_turn
+
+        def noted(spark, parts, label):
+            parts = list(parts)
+            written.append((label, len(parts), sorted(parts[0].columns)))
+            return in_turn(spark, parts, label)
+
+        monkeypatch.setattr(sinks, "stash_in_turn", noted)
+        assert os.path.isdir(raw.removeprefix("file:"))
+        sliced = sinks.run_pipeline(spark, raw, str(tmp_path / "sliced"), remove_raw=True)
+        assert not os.path.exists(raw.removeprefix("file:"))
+    assert sliced.rows_read == whole.rows_read == dirty.raw_text(star).count()
+    assert sorted(rows(sliced.drops)) == sorted(rows(whole.drops))
+    assert sorted(rows(sliced.counts)) == sorted(rows(whole.counts))
+    for name in ("orders", "sales"):
+        assert _sorted(sliced.mart.tables[name]) == _sorted(whole.mart.tables[name])
+    # Of the lines, only good rows are stored.
+    assert all(label == "good" and n > 1 and "broken_rule" not in columns for label, n, columns in written)
+
+
+def test_the_pipeline_query_leaves_only_its_tables(spark, star):
+    lie = _scratch(spark)
+    got = tables.ENTRIES["pipe_orders"][0](star)
+    left = {name for name in _scratch(spark) - lie if not name.startswith(".")}
+    assert left and all(name.startswith("pipeline-") for name in left)
+    assert got.count() == got.select("order_id").distinct().count() > 0
+
+
 def test_nothing_to_slice(spark, raw_of):
     with scratch_scope(spark):
         raw = raw_of({}).where(F.lit(False))
